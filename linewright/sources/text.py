@@ -40,7 +40,7 @@ def walk(paths, recursive=False, include=(), exclude=(), exclude_dir=(), follow=
 def read(spark: SparkSession, *paths: str, recursive: bool = False, numbered: bool = False) -> DataFrame:
     """(value, src[, line]); one trailing CR goes. `numbered` reads each file as one task's rows."""
     if numbered:
-        whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", str(recursive).lower()).text(list(paths))
+        whole = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(list(paths), wholetext=True)
         lines = F.split(F.regexp_replace("value", "\n\\z", ""), "\n", -1)
         rows = whole.select(F.col("_metadata.file_path").alias("src"), F.posexplode(lines).alias("at", "value"))
         return rows.select(F.regexp_replace("value", "\r\\z", "").alias("value"), "src", (F.col("at") + 1).cast("long").alias("line"))

@@ -87,11 +87,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, n_words, kept): maximal runs of repeated windows, in words of the text."""
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     suffixes = texts.mapInArrow(_suffixes, "h long, doc_id long, at int")
-    shared = suffixes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("g"))
-    seeds = suffixes.join(shared, suffixes.h == shared.g).groupBy("doc_id").agg(F.collect_set("at").alias("seeds"))
+    # joining on the complement gives the counts an exchange of their own, so that a hot key's rows can be split
+    shared = suffixes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("h").alias("g"))
+    seeds = suffixes.join(shared, F.bitwise_not("h") == F.col("g")).groupBy("doc_id").agg(F.collect_set("at").alias("seeds"))
     windows = texts.join(seeds, "doc_id").select("doc_id", "text", "seeds").mapInArrow(_windows, "w long, doc_id long, at int, again boolean")
-    found = windows.groupBy("w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    marked = windows.join(found.withColumnRenamed("w", "v"), F.col("w") == F.col("v")).where("again or low < high")
+    found = windows.groupBy("w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    marked = windows.join(found.select(F.bitwise_not("w").alias("v"), "low"), F.bitwise_not("w") == F.col("v"), "left").where("again or low is not null")
     placed = marked.select("doc_id", (~F.col("again") & (F.col("doc_id") == F.col("low"))).alias("kept"), "at")
     return placed.groupBy("doc_id", "kept").agg(F.collect_list("at").alias("at")).mapInArrow(_spans, "doc_id long, start_word long, n_words long, kept boolean")
 

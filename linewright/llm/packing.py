@@ -11,7 +11,6 @@ packed like any other row. An empty table gives no rows. Extra columns are ignor
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 
 import numpy as np
@@ -69,39 +68,53 @@ def curve_keys(batches):
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array(hilbert(cells, BITS))], ["doc_id", "text", "key"])
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for letters from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 class Encoder:
     """Ids of whole texts as little-endian uint32 bytes.
 
-    Latin-script text is cut by the vocabulary's own word pattern and each distinct word
-    is encoded once; all other text goes through the tokenizer whole.
+    Plain Latin text is cut at white space, then by the vocabulary's own word pattern, and
+    each distinct piece goes to the tokenizer's model once; all other text goes through
+    the tokenizer whole. Both caches are emptied when full.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import re
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.plain = re.compile(r"[\t\n\r -~¡-ɏ]*").fullmatch
-        self.known, self.limit = {}, limit
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+").findall
+        self.plain = re.compile(r"[\t\n\r -~À-ɏ]*").fullmatch
+        self.chunks, self.pieces, self.limit = {}, {}, limit
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def piece(self, word: str) -> bytes:
+        found = self.pieces.get(word)
+        if found is None:
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(mapped)]
+            found = self.pieces[word] = b"".join(i.to_bytes(4, "little") for i in ids)
+        return found
+
     def __call__(self, text: str) -> bytes:
         if "<|" in text or not self.plain(text):
             return self.whole(text)
-        words = self.split(unicodedata.normalize("NFC", text).lower())
-        known = self.known
-        new = list(set(words).difference(known))
-        if new:
-            if len(known) > self.limit:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        words, known = text.lower().split(), self.chunks
+        if len(known) > self.limit:
+            known.clear()
+        if len(self.pieces) > self.limit:
+            self.pieces.clear()
+        for w in set(words).difference(known):
+            known[w] = b"".join(map(self.piece, self.split(w)))
         return b"".join(map(known.__getitem__, words))
 
 

@@ -4,7 +4,7 @@ Features are hashed byte trigrams of the lower-cased whole text. A one-versus-on
 decides between language families, then one-versus-one SVMs within the family vote.
 The score is the logistic of the summed signed margins of the winner, 0 to 1.
 
-Training rows: about `per_language` documents of each language, chosen by the hash of
+Training rows: about `per_language` (500) documents of each language, chosen by the hash of
 doc_id among the rows `learn` allows; the bound is that parameter. Null text or text
 without a letter: `und`, score 0. Null languages teach nothing. With no rows to learn
 from, every prediction is `und`. Repeated rows are predicted alike; an empty table gives
@@ -25,7 +25,7 @@ from ._util import table
 
 #: Families of languages by ISO code; others form a family of their own.
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "es": "romance", "fr": "romance", "it": "romance", "pt": "romance"}
-SIZE = 1 << 14
+SIZE = 1 << 12
 _LETTER = re.compile(r"[^\W\d_]").search
 
 
@@ -33,7 +33,7 @@ def features(text: str) -> np.ndarray:
     raw = np.frombuffer(text.lower().encode(), np.uint8).astype(np.uint32)
     if len(raw) < 3:
         raw = np.concatenate((raw, np.full(3, 32, np.uint32)))
-    h = (raw[:-2] * np.uint32(40503) + raw[1:-1] * np.uint32(30011) + raw[2:] * np.uint32(977)) * np.uint32(2654435761) >> np.uint32(18)
+    h = (raw[:-2] * np.uint32(40503) + raw[1:-1] * np.uint32(30011) + raw[2:] * np.uint32(977)) * np.uint32(2654435761) >> np.uint32(20)
     v = np.sqrt(np.bincount(h, minlength=SIZE).astype(np.float32))
     return v / np.linalg.norm(v)
 
@@ -41,7 +41,8 @@ def features(text: str) -> np.ndarray:
 def svm(x: np.ndarray, y: np.ndarray, passes: int = 20, reg: float = 1e-4) -> tuple[np.ndarray, float]:
     """Pegasos with averaging; y is -1 or 1."""
     w, mean, rng, step = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), np.random.default_rng(5), 0
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    y = y.astype(np.float32)
     for _ in range(passes):
         for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // 32)):
             step += 1
@@ -86,7 +87,7 @@ class Model:
         return lang, float(1 / (1 + np.exp(-3 * max(min(sure, inner), -10.0))))
 
 
-def train(docs: DataFrame, learn, per_language: int = 600) -> Model:
+def train(docs: DataFrame, learn, per_language: int = 500) -> Model:
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r.lang: r.n for r in docs.where(learn & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).collect()}
     chance = F.lit(0.0)

@@ -44,16 +44,15 @@ class Index:
     def __init__(self, rows: list[tuple[int, str, int]], terms: int = 4096, block: int = 64, k: int = 9):
         self.k, n = k, max(1, len(rows))
         pos, neg = Counter(), Counter()
-        bags = [vocabulary(t) for _, t, _ in rows]
-        for bag, (_, _, y) in zip(bags, rows):
-            (pos if y else neg).update(bag)
+                for _, t, y in rows:  # vocabularies are made twice rather than held
+            (pos if y else neg).update(vocabulary(t))
         np_, nn = max(1, sum(y for *_, y in rows)), max(1, sum(1 - y for *_, y in rows))
         lift = {t: c / np_ - neg[t] / nn for t, c in pos.items() if c >= 3 and (c / np_ + 1e-9) > 5 * (neg[t] + 0.5) / nn}
         chosen = sorted(lift, key=lambda t: (-lift[t], t))[:terms]
         self.id = {t: i for i, t in enumerate(chosen)}
         self.idf = np.array([np.log(1 + n / (pos[t] + neg[t])) for t in chosen])
         # examples with a term come first, in order of their leading term, so that blocks are alike
-        vectors = [sorted(self.id[t] for t in bag if t in self.id) for bag in bags]
+        vectors = [sorted(self.id[t] for t in vocabulary(text) if t in self.id) for _, text, _ in rows]
         order = sorted((i for i in range(len(rows)) if vectors[i]), key=lambda i: (vectors[i], rows[i][0]))
         self.ids, self.y = np.array([rows[i][0] for i in order], np.int64), np.array([rows[i][2] for i in order], float)
         self.block, self.postings, self.bounds = block, {}, {}
@@ -127,7 +126,7 @@ def held_out():
     return F.coalesce(F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0"), F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn, per_label: int = 3000) -> Index:
+def train(docs: DataFrame, labels: DataFrame, learn, per_label: int = 1500) -> Index:
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chance = F.lit(0.0)

@@ -26,7 +26,12 @@ from ._util import table
 #: Families of languages by ISO code; others form a family of their own.
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "es": "romance", "fr": "romance", "it": "romance", "pt": "romance"}
 SIZE = 1 << 12
-_LETTER = re.compile(r"[^\W\d_]").search
+_WORD = re.compile(r"[^\W\d_]+").finditer
+
+
+def has_letter(text: str) -> bool:
+    """Whether a Unicode letter occurs; other numeric characters, such as a raised two, are none."""
+    return any(c.isalpha() for m in _WORD(text) for c in m.group())
 
 
 def features(text: str) -> np.ndarray:
@@ -79,7 +84,7 @@ class Model:
         return first, sums[first] if len(names) > 1 else 4.0
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.members or not _LETTER(text):
+        if not text or not self.members or not has_letter(text):
             return "und", 0.0
         margins = (self.w @ features(text) + self.b).tolist() if self.pairs else []
         family, sure = self.best("", list(self.members), margins)

@@ -249,3 +249,7 @@ def test_pipeline(spark):
     assert by <= set(docs) and sum(x.length for x in got) > 0
     rep = {x.doc_id for x in simhash.near_duplicates(table(spark, SF, "documents")).collect() if x.doc_id == x.component_id}
     assert by <= rep
+
+
+def test_letters():
+    assert langid.has_letter("1 é") and langid.has_letter("²x") and not langid.has_letter("² Ⅷ 12_ !")

@@ -133,7 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, learn, per_label: int = 3000) -> I
     for y, n in counts.items():
         chance = F.when(F.col("toxic") == y, min(1.0, per_label / n)).otherwise(chance)
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < chance * (1 << 30)).select(F.col("doc_id").alias("_d"), "toxic")
-    rows = docs.where("text is not null").join(drawn, F.col("doc_id") == F.col("_d")).select("doc_id", "text", "toxic")
+    # the draw is bounded by per_label, so its ids are broadcast and no text is shuffled
+    rows = docs.where("text is not null").join(F.broadcast(drawn), F.col("doc_id") == F.col("_d")).select("doc_id", "text", "toxic")
     return Index(sorted((r.doc_id, r.text, r.toxic) for r in rows.collect()))
 
 

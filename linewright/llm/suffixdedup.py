@@ -4,7 +4,7 @@ A suffix is kept where its first `SEED` words are the least hash of some run of
 neighbouring seeds (a content-selected minimiser), so any passage of SEED + RUN - 1 = 50
 words holds one, the same in every copy. Suffixes are brought together in seed order and
 those with an equal neighbour survive; around these, matches are extended left and right
-to every window of 50 words that contains the seed. A window found in two documents, or
+to every window of 50 words whose least seed it is. A window found in two documents, or
 twice in one, is repeated. Of each repeated window the occurrence in the smallest doc_id
 (there, the first) is kept and the others are removable (`kept` spans are
 reported where another document shares them); adjoining windows form spans.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._util import table
-from ._words import Powers, minimisers, prefix, window_hashes, words_of
+from ._words import Powers, _sliding, minimisers, prefix, window_hashes, words_of
 
 LENGTH, SEED, RUN = 50, 26, 25
 
@@ -54,13 +54,13 @@ def _windows(batches):
         for doc, text, seeds in zip(batch["doc_id"].to_numpy(), batch["text"].to_pylist(), batch["seeds"]):
             h = words_of(text.encode().lower(), powers)[2]
             last = len(h) - LENGTH
-            # every window of LENGTH words around a surviving seed
-            near = np.zeros(len(h) + 2, np.int64)
+            # a repeated window's own least seed survives in every copy: only such windows can be repeated
+            keys = window_hashes(prefix(h, powers), np.arange(max(0, len(h) - SEED + 1)), SEED, powers)
             p = seeds.values.to_numpy(zero_copy_only=False).astype(np.int64)
-            p = p[p <= len(h) - SEED]  # a doc_id with several texts
-            np.add.at(near, np.maximum(p - (LENGTH - SEED), 0), 1)
-            np.add.at(near, p + 1, -1)
-            starts = np.flatnonzero(np.cumsum(near)[: max(0, last + 1)] > 0)
+            alive = np.full(len(keys), np.iinfo(np.uint64).max)
+            p = p[p < len(keys)]  # a doc_id with several texts
+            alive[p] = keys[p]
+            starts = np.flatnonzero(_sliding(alive, RUN, np.minimum) == _sliding(keys, RUN, np.minimum)) if last >= 0 else np.zeros(0, np.int64)
             w = window_hashes(prefix(h, powers), starts, LENGTH, powers)
             again = np.ones(len(w), bool)
             again[np.unique(w, return_index=True)[1]] = False

@@ -49,8 +49,8 @@ def _suffixes(batches):
 
 def _windows(batches):
     powers = Powers()
-    for batch in batches:
-        out = [[], [], [], []]
+    for batch in batches:  # `at` is complemented where the document has the window before
+        out = [[], [], []]
         for doc, text, seeds in zip(batch["doc_id"].to_numpy(), batch["text"].to_pylist(), batch["seeds"]):
             h = words_of(text.encode().lower(), powers)[2]
             last = len(h) - LENGTH
@@ -64,10 +64,10 @@ def _windows(batches):
             w = window_hashes(prefix(h, powers), starts, LENGTH, powers)
             again = np.ones(len(w), bool)
             again[np.unique(w, return_index=True)[1]] = False
-            for c, v in zip(out, (w.view(np.int64), np.full(len(w), doc), starts.astype(np.int32), again)):
+            for c, v in zip(out, (w.view(np.int64), np.full(len(w), doc), np.where(again, ~starts, starts).astype(np.int32))):
                 c.append(v)
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["w", "doc_id", "at", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["w", "doc_id", "at"])
 
 
 def _spans(batches):
@@ -90,10 +90,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # joining on the complement gives the counts an exchange of their own, so that a hot key's rows can be split
     shared = suffixes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("h").alias("g"))
     seeds = suffixes.join(shared, F.bitwise_not("h") == F.col("g")).groupBy("doc_id").agg(F.collect_set("at").alias("seeds"))
-    windows = texts.join(seeds, "doc_id").select("doc_id", "text", "seeds").mapInArrow(_windows, "w long, doc_id long, at int, again boolean")
+    windows = texts.join(seeds, "doc_id").select("doc_id", "text", "seeds").mapInArrow(_windows, "w long, doc_id long, at int")
     found = windows.groupBy("w").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    marked = windows.join(found.select(F.bitwise_not("w").alias("v"), "low"), F.bitwise_not("w") == F.col("v"), "left").where("again or low is not null")
-    placed = marked.select("doc_id", (~F.col("again") & (F.col("doc_id") == F.col("low"))).alias("kept"), "at")
+    marked = windows.join(found.select(F.bitwise_not("w").alias("v"), "low"), F.bitwise_not("w") == F.col("v"), "left").where("at < 0 or low is not null")
+    placed = marked.select("doc_id", ((F.col("at") >= 0) & (F.col("doc_id") == F.col("low"))).alias("kept"), F.greatest("at", F.bitwise_not("at")).alias("at"))
     return placed.groupBy("doc_id", "kept").agg(F.collect_list("at").alias("at")).mapInArrow(_spans, "doc_id long, start_word long, n_words long, kept boolean")
 
 

@@ -89,6 +89,9 @@ def as_int(c: Column) -> Column:
 
 
 def as_num(c: Column) -> Column:
+    known = vars(c).get("_number")  # text that num_text made: the number itself, without reading it back
+    if known is not None:
+        return known
     return (F.when(c.rlike(NUM), c.try_cast("double")).when(c.rlike(r"(?i)^\+?inf(inity)?\z"), F.lit(float("inf")))
             .when(c.rlike(r"(?i)^-inf(inity)?\z"), F.lit(float("-inf"))).when(c.rlike(r"(?i)^nan\z"), F.lit(float("nan"))))
 
@@ -97,12 +100,24 @@ def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(BAD))
 
 
+def bound(c: Column, use) -> Column:
+    """use(c) with c evaluated once a row, however often `use` names it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def num_text(d: Column) -> Column:
     """Shortest digits, never an exponent."""
+    out = bound(d, _num_text)
+    out._number = d
+    return out
+
+
+def _num_text(d: Column) -> Column:
     s = d.cast("string")
     plain = F.coalesce(F.regexp_replace(s.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", ""), s)
     whole = F.when(F.abs(d) >= 1e20, F.format_string("%.0f", d)).otherwise(plain)
-    return F.when(d.isNull(), BAD).when(F.isnan(d), "NaN").when(d == float("inf"), "+Inf").when(d == float("-inf"), "-Inf").when(s.contains("E"), F.when(plain == "", "0").otherwise(whole)).otherwise(F.regexp_replace(s, r"\.0$", ""))
+    rare = F.when(s == "Infinity", "+Inf").when(s == "-Infinity", "-Inf").when(plain == "", "0").otherwise(whole)
+    return F.coalesce(F.when(s.rlike("[EI]"), rare).otherwise(F.regexp_replace(s, r"\.0$", "")), F.lit(BAD))
 
 
 def truthy(c: Column) -> Column:
@@ -256,7 +271,8 @@ def fixed(v: Column, places: int) -> Column:
 
 @rule("round", low=1, high=2)
 def _round(ctx, _, args):
-    return text(fixed(as_num(args_of(ctx, args[:1])[0]), const_int(args[1]) if len(args) > 1 else 0))
+    places = const_int(args[1]) if len(args) > 1 else 0
+    return text(bound(as_num(args_of(ctx, args[:1])[0]), lambda v: fixed(v, places)))
 
 
 def _bucket_start(v, size):

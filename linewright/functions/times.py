@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .library import BAD, PARSE, args_of, as_int, const, rule, text
+from .library import BAD, PARSE, args_of, as_int, bound, const, rule, text
 from .template import TemplateError
 
 #: Named layouts.
@@ -26,6 +26,15 @@ ZONE = r"\s*(Z|[+-]\d\d:?\d\d)$"
 DETECT = ["d/MMM/yyyy:HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy/MM/dd HH:mm:ss", "d/MMM/yyyy HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "MMM d HH:mm:ss yyyy"]
 
 
+#: Pattern letters and what their text looks like; a parse is only tried where the shape fits, as a failed one costs an exception.
+SHAPES = {"yyyy": r"[+-]?\d{4,}", "MMM": r"\pL+\.?", "MM": r"\d\d", "dd": r"\d\d", "d": r"\d{1,2}", "HH": r"\d\d", "mm": r"\d\d", "ss": r"\d\d", "SSS": r"\d+", "'T'": "[Tt]"}
+_SHAPE = re.compile("|".join(sorted(SHAPES, key=len, reverse=True)) + r"|.")
+
+
+def shape(pattern: str) -> str:
+    return "^" + "".join(SHAPES.get(p, re.escape(p)) for p in _SHAPE.findall(pattern)) + r"\z"
+
+
 def java_pattern(layout: str) -> str:
     layout, out, at = LAYOUTS.get(layout.upper(), layout), "", 0
     quote = lambda s: re.sub(r"[A-Za-z]+", lambda m: f"'{m[0]}'", s).replace("''", "") if s else ""
@@ -50,7 +59,8 @@ def wall_clock(s: Column, layout: str) -> Column:
         return digits
     bare = F.regexp_replace(s, ZONE, "")
     if layout.lower() in ("", "auto", "cache"):
-        return F.coalesce(digits, *[F.call_function("try_to_timestamp", bare, F.lit(p)).cast("timestamp_ntz") for p in DETECT])
+        found = [F.when(bare.rlike(shape(p)), F.call_function("try_to_timestamp", bare, F.lit(p)).cast("timestamp_ntz")) for p in DETECT]
+        return F.coalesce(digits, *found)
     pattern = re.sub(r"\s*(X+|x+)$", "", java_pattern(layout))
     return F.call_function("try_to_timestamp", bare, F.lit(pattern)).cast("timestamp_ntz")
 
@@ -67,8 +77,11 @@ def _zone(args, i) -> str:
 def instant(s: Column, layout: str, zone: str) -> Column:
     """Unix seconds; the session's zone is UTC."""
     wall = wall_clock(s, layout)
-    here = wall if zone == "UTC" else F.to_utc_timestamp(wall.cast("timestamp"), zone)
-    return F.when(s.rlike(r"^[+-]?\d+\z"), s.try_cast("bigint")).otherwise(F.coalesce(seconds(wall) - _offset(s), seconds(here)))
+    if zone == "UTC":
+        at = seconds(wall) - F.when(s.rlike(ZONE), _offset(s)).otherwise(0)
+    else:
+        at = F.when(s.rlike(ZONE), seconds(wall) - _offset(s)).otherwise(seconds(F.to_utc_timestamp(wall.cast("timestamp"), zone)))
+    return F.when(s.rlike(r"^[+-]?\d+\z"), s.try_cast("bigint")).otherwise(at)
 
 
 @rule("time", low=1, high=3)
@@ -125,7 +138,10 @@ SECONDS = {"h": 3600.0, "m": 60.0, "s": 1.0, "ms": 1e-3, "us": 1e-6, "µs": 1e-6
 
 @rule("duration", low=1, high=1)
 def _duration(ctx, _, args):
-    s = args_of(ctx, args)[0]
+    return bound(args_of(ctx, args)[0], _seconds_of)
+
+
+def _seconds_of(s: Column) -> Column:
     total = F.lit(0.0)
     for u, f in SECONDS.items():
         found = F.regexp_extract_all(s, F.lit(rf"([0-9]*\.?[0-9]+){u}(?![a-zµ])"), F.lit(1))
@@ -136,7 +152,10 @@ def _duration(ctx, _, args):
 
 @rule("durationformat", low=1, high=1)
 def _durationformat(ctx, _, args):
-    v = as_int(args_of(ctx, args)[0])
+    return bound(as_int(args_of(ctx, args)[0]), _duration_text)
+
+
+def _duration_text(v: Column) -> Column:
     a = F.abs(v)
     h, m, s = (F.floor(a / 3600).cast("string"), F.floor(a % 3600 / 60).cast("string"), (a % 60).cast("string"))
     body = F.when(a >= 3600, F.concat(h, F.lit("h"), m, F.lit("m"), s, F.lit("s"))).when(a >= 60, F.concat(m, F.lit("m"), s, F.lit("s"))).otherwise(F.concat(s, F.lit("s")))

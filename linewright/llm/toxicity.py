@@ -1,13 +1,14 @@
 """Toxicity by exact nearest labelled examples in TF-IDF space.
 
 Terms are lower-cased words, and prefixes of 4 to 8 letters that begin at least two words
-of the text. Those associated with
-the label in the training rows span the vector space (at most `terms`, a parameter); a
-text is the set of its terms there, weighted by IDF and normalised. The labelled examples
-lie in an inverted index cut into blocks with the largest weight of each term per block;
-a query adds these up to a bound per block, visits blocks in falling order of the bound
-and stops when no block can enter its k nearest, so the k nearest are exact. Votes weigh
-by cosine; the score is their smoothed share, and the nearest ids are the evidence.
+of the text. All terms of all examples span the vector space. A term weighs TF times IDF
+times its relevance frequency, log2(2 + toxic / clean examples that have it), and vectors
+are normalised over all their terms, in a text also those that no example has. The
+examples lie in an inverted index cut into blocks with the largest weight of each term per
+block; a query adds these up to a bound per block, visits blocks in falling order of the
+bound and stops when no block can enter its k nearest, so the k nearest are exact. Votes
+weigh by cosine; the score is a logistic curve of their smoothed share, fitted on the training
+rows, each left out of its own vote; the nearest ids are the evidence.
 
 Training rows: about `per_label` of each label, chosen by the hash of doc_id among the
 rows `learn` allows; that bound is a parameter. Null, empty or unknown text: the prior
@@ -17,6 +18,7 @@ nulls teach nothing; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 
@@ -30,96 +32,131 @@ from ._util import table
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
+@functools.lru_cache(50_000)
 def stems_of(word: str) -> tuple[str, ...]:
     return tuple(word[:n] + "*" for n in range(4, 9) if len(word) >= n)
 
 
-def vocabulary(text: str) -> set[str]:
-    words = _WORDS(text.lower())
-    stems = Counter(s for w in words for s in stems_of(w))
-    return {*words, *(s for s, n in stems.items() if n > 1)}
+def vocabulary(text: str | None) -> dict[str, int]:
+    """The terms of a text and how often each occurs."""
+    out = Counter(_WORDS(text.lower())) if text else {}
+    stems: dict[str, int] = {}
+    for w, n in out.items():
+        for s in stems_of(w):
+            stems[s] = stems.get(s, 0) + n
+    return {**out, **{s: n for s, n in stems.items() if n > 1}}
+
+
+def ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the ranges first..end one after another, and the size of each."""
+    size = end - first
+    return np.repeat(end - np.cumsum(size), size) + np.arange(size.sum()), size
+
+
+def logistic(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def fitted(share: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """(a, b), drawn lightly to (-4, 8), such that logistic(a + b * share) is the chance of label 1."""
+    start = line = np.array([-4.0, 8.0])
+    x = np.stack([np.ones(len(y)), share], 1)
+    for _ in range(40):
+        p = logistic(x @ line)
+        slope = x.T @ (weight * (y - p)) - 0.05 * (line - start)
+        line = line + np.clip(np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + 0.05 * np.eye(2), slope), -2, 2)
+    return tuple((line if line[1] > 0 else start).tolist())
 
 
 class Index:
-    def __init__(self, rows: list[tuple[int, str, int]], terms: int = 4096, block: int = 64, k: int = 9):
-        self.k, n = k, max(1, len(rows))
-        pos, neg = Counter(), Counter()
-        for _, t, y in rows:  # vocabularies are made twice rather than held
-            (pos if y else neg).update(vocabulary(t))
-        np_, nn = max(1, sum(y for *_, y in rows)), max(1, sum(1 - y for *_, y in rows))
-        lift = {t: c / np_ - neg[t] / nn for t, c in pos.items() if c >= 3 and (c / np_ + 1e-9) > 5 * (neg[t] + 0.5) / nn}
-        chosen = sorted(lift, key=lambda t: (-lift[t], t))[:terms]
-        self.id = {t: i for i, t in enumerate(chosen)}
-        self.idf = np.array([np.log(1 + n / (pos[t] + neg[t])) for t in chosen])
-        # examples with a term come first, in order of their leading term, so that blocks are alike
-        vectors = [sorted(self.id[t] for t in vocabulary(text) if t in self.id) for _, text, _ in rows]
-        order = sorted((i for i in range(len(rows)) if vectors[i]), key=lambda i: (vectors[i], rows[i][0]))
+    def __init__(self, rows: list[tuple[int, str, int]], block: int = 64, k: int = 9):
+        self.k, self.block, self.id = k, block, {}
+        terms, counts = [], []
+        for _, text, _ in rows:
+            found = vocabulary(text)
+            terms.append(np.fromiter((self.id.setdefault(t, len(self.id)) for t in found), np.int32, len(found)))
+            counts.append(np.fromiter(found.values(), np.float32, len(found)))
+        pos, neg = np.zeros(len(self.id)), np.zeros(len(self.id))
+        for (*_, y), t in zip(rows, terms):
+            (pos if y else neg)[t] += 1
+        self.rare = float(np.log(1 + len(rows)))  # weight of a term that no example has
+        self.idf = np.log((1 + len(rows)) / np.maximum(1, pos + neg)) * np.log2(2 + pos / np.maximum(1, neg))
+        vectors = [c * self.idf[t] for t, c in zip(terms, counts)]
+        # in order of their heaviest term, so that blocks are alike; a text without a word is near to nothing
+        order = sorted((i for i in range(len(rows)) if len(terms[i])), key=lambda i: (int(terms[i][np.argmax(vectors[i])]), rows[i][0]))
         self.ids, self.y = np.array([rows[i][0] for i in order], np.int64), np.array([rows[i][2] for i in order], float)
-        self.block, self.postings, self.bounds = block, {}, {}
-        lists: dict[int, list] = {}
-        for at, i in enumerate(order):
-            w = self.idf[vectors[i]]
-            for t, x in zip(vectors[i], w / np.linalg.norm(w)):
-                lists.setdefault(t, []).append((at, x))
-        for t, found in lists.items():
-            at, x = np.array([a for a, _ in found]), np.array([b for _, b in found])
-            blocks, first = np.unique(at // block, return_index=True)
-            self.postings[t] = (at, x, blocks, np.append(first, len(at)))
-            self.bounds[t] = np.maximum.reduceat(x, first)
+        t = np.concatenate([np.zeros(0, np.int32), *(terms[i] for i in order)])
+        at = np.repeat(np.arange(len(order), dtype=np.int32), [len(terms[i]) for i in order])
+        x = np.concatenate([np.zeros(0, np.float32), *((vectors[i] / np.linalg.norm(vectors[i])).astype(np.float32) for i in order)])
+        by = np.argsort(t, kind="stable")
+        t, self.at, self.x = t[by], at[by], x[by]
+        # one entry for each block that has the term: its first posting and largest weight
+        first = np.flatnonzero((np.diff(t, prepend=-1) != 0) | (np.diff(self.at // block, prepend=-1) != 0))
+        self.at_block, self.bounds = self.at[first] // block, np.maximum.reduceat(self.x, first) if len(first) else self.x
+        self.first = np.append(first, len(t)).astype(np.int32)
+        self.entries = np.searchsorted(t[first], np.arange(len(self.id) + 1)).astype(np.int32)
         self.prior = 0.1
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.seen: dict[tuple, tuple[float, list]] = {}
+        unit = [vectors[i] / np.linalg.norm(vectors[i]) for i in order]
+        shares = np.array([self.share(*self.nearest(terms[i], unit[place], place)) for place, i in enumerate(order)])
+        self.line = fitted(shares, self.y, np.ones(len(order)))
+
+    @property
+    def postings(self) -> dict:
+        """Term to the places that have it, their weights, its blocks and where each of these begins."""
+        out = {}
+        for t, (a, b) in enumerate(zip(self.entries[:-1], self.entries[1:])):
+            part = slice(self.first[a], self.first[b])
+            out[t] = (self.at[part], self.x[part], self.at_block[a:b], self.first[a : b + 1] - self.first[a])
+        return out
+
+    def vector(self, text: str | None) -> tuple[list[int], np.ndarray]:
+        """Ids of the text's terms and their weights, normalised over all its terms, known or not."""
+        found = vocabulary(text)
+        ids = np.fromiter((self.id.get(t, -1) for t in found), int, len(found))
+        counts, known = np.fromiter(found.values(), float, len(found)), ids >= 0
+        weights = np.where(known, self.idf[ids], self.rare) * counts if len(self.idf) else counts
+        return ids[known].tolist(), weights[known] / (np.linalg.norm(weights) or 1)
 
     def query(self, text: str | None) -> tuple[int, ...]:
-        """Ids of the text's terms; each word's share is found once and kept."""
-        whole, twice, once, known = set(), set(), set(), self.words
-        if len(known) > 300_000:
-            known.clear()
-        for w in _WORDS(text.lower()) if text else ():
-            hit = known.get(w)
-            if hit is None:
-                hit = known[w] = (self.id.get(w), tuple(self.id[t] for t in stems_of(w) if t in self.id)) if w in self.id or any(t in self.id for t in stems_of(w)) else ()
-            if hit:
-                if hit[0] is not None:
-                    whole.add(hit[0])
-                for t in hit[1]:
-                    (twice if t in once else once).add(t)
-        return tuple(sorted(whole | twice))
-
-    def nearest(self, terms: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and places of the k nearest examples, nearest first, ties to the earlier place."""
-        weights = self.idf[list(terms)]
-        weights = weights / np.linalg.norm(weights)
-        bound = np.zeros(len(self.y) // self.block + 1)
-        for t, w in zip(terms, weights):
-            if t in self.postings:
-                bound[self.postings[t][2]] += w * self.bounds[t]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == self.k and bound[b] < -best[-1][0] - 1e-12):
-                break
-            sums = np.zeros(self.block)
-            for t, w in zip(terms, weights):
-                if t in self.postings:
-                    at, x, blocks, first = self.postings[t]
-                    i = np.searchsorted(blocks, b)
-                    if i < len(blocks) and blocks[i] == b:
-                        part = slice(first[i], first[i + 1])
-                        sums[at[part] - b * self.block] += w * x[part]
-            best = sorted(best + [(-s, int(b) * self.block + j) for j, s in enumerate(sums.tolist()) if s > 0])[: self.k]
-        return np.array([-s for s, _ in best]), np.array([p for _, p in best], int)
+        """Ids of the text's terms."""
+        return tuple(sorted(self.vector(text)[0]))
+
+    def share(self, near: np.ndarray, at: np.ndarray) -> float:
+        """Smoothed toxic share of the votes."""
+        return (float(near @ self.y[at]) + self.prior * 0.05) / (float(near.sum()) + 0.05)
+
+    def nearest(self, terms, weights: np.ndarray | None = None, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and places of the k nearest examples but `skip`, nearest first, ties to the earlier place; every term once without `weights`."""
+        terms = np.asarray(terms, int)
+        if weights is None:
+            weights = self.idf[terms] / np.linalg.norm(self.idf[terms])
+        entries, size = ranges(self.entries[terms], self.entries[terms + 1])
+        blocks, weight = self.at_block[entries], np.repeat(weights, size)
+        bound = np.bincount(blocks, weight * self.bounds[entries], len(self.y) // self.block + 1)
+        left = np.argsort(-bound, kind="stable")
+        left, sums, take, least = left[bound[left] > 0], np.zeros(len(self.y)), 8, 0.0
+        while len(left):
+            now, left, take = left[:take], left[take:], 4 * take
+            chosen = np.zeros(len(bound), bool)
+            chosen[now] = True
+            mine = chosen[blocks]
+            postings, size = ranges(self.first[entries[mine]], self.first[entries[mine] + 1])
+            sums += np.bincount(self.at[postings], np.repeat(weight[mine], size) * self.x[postings], len(sums))
+            if skip >= 0:
+                sums[skip] = 0
+            if len(sums) >= self.k:
+                least = np.partition(sums, -self.k)[-self.k]
+            left = left[bound[left] >= least - 1e-9]
+        best = np.flatnonzero((sums >= least) & (sums > 0))
+        best = best[np.lexsort((best, -sums[best]))][: self.k]
+        return sums[best], best
 
     def __call__(self, text: str | None) -> tuple[float, list[int]]:
-        terms = self.query(text)
-        if not terms or not len(self.y):
+        terms, weights = self.vector(text)
+        near, at = self.nearest(terms, weights) if terms else (np.zeros(0), np.zeros(0, int))
+        if not len(at):
             return self.prior * 0.2, []
-        if terms not in self.seen:
-            if len(self.seen) > 50_000:
-                self.seen.clear()
-            near, at = self.nearest(terms)
-            score = (float(near @ self.y[at]) + self.prior * 0.5) / (float(near.sum()) + 0.5) if len(at) else self.prior * 0.2
-            self.seen[terms] = (score, self.ids[at].tolist())
-        return self.seen[terms]
+        return float(logistic(self.line[0] + self.line[1] * self.share(near, at))), self.ids[at].tolist()
 
 
 def held_out():

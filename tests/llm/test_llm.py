@@ -192,6 +192,22 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(odd, blank).count() == 13 and toxicity.score(empty, blank).count() == 0
 
 
+def test_toxicity_compares_every_text_over_all_terms():
+    r = random.Random(7)
+    rows = [(i, words(r, 30) + (" foul" * 3 if i < 20 else ""), int(i < 20)) for i in range(120)]
+    index = toxicity.Index(rows)
+    assert len(index.ids) == 120  # also those without a term of the label
+    bags = [toxicity.vocabulary(t) for _, t, _ in rows]
+    full = [{t: n * index.idf[index.id[t]] for t, n in b.items()} for b in bags]
+    for text in (rows[50][1] + " novel words", "foul foul " + rows[60][1], "foul " + words(r, 400)):
+        q = {t: n * (index.idf[index.id[t]] if t in index.id else index.rare) for t, n in toxicity.vocabulary(text).items()}
+        cos = [sum(w * v.get(t, 0) for t, w in q.items()) / np.linalg.norm(list(q.values())) / np.linalg.norm(list(v.values())) for v in full]
+        near, at = index.nearest(*index.vector(text))
+        assert np.allclose(near, sorted(cos, reverse=True)[: index.k], atol=1e-5)
+        assert index(text)[1] == index.ids[at].tolist() and len(at) == index.k
+    assert index(rows[50][1])[1][0] == rows[50][0]
+
+
 def test_simhash_against_brute_force(spark, odd, empty):
     from linewright.llm.simhash import fingerprint
 

@@ -7,12 +7,13 @@ are normalised over all their terms, in a text also those that no example has. T
 examples lie in an inverted index cut into blocks with the largest weight of each term per
 block; a query adds these up to a bound per block, visits blocks in falling order of the
 bound and stops when no block can enter its k nearest, so the k nearest are exact. Votes
-weigh by cosine; the score is a logistic curve of their smoothed share, fitted on the training
-rows, each left out of its own vote; the nearest ids are the evidence.
+weigh by cosine and by the labelled rows an example stands for (its label's count over the
+number drawn of it), and so do the counts behind IDF and relevance frequency; the score is a logistic curve of their smoothed share, fitted on the training
+rows with the same weights, each left out of its own vote; the nearest ids are the evidence.
 
 Training rows: about `per_label` of each label, chosen by the hash of doc_id among the
-rows `learn` allows; that bound is a parameter. Null, empty or unknown text: the prior
-share, below 0.5. Repeated rows score alike; repeated or null labels: the largest counts,
+rows `learn` allows; that bound is a parameter. Null, empty or unknown text: the toxic
+share of the labelled rows, 0.49 at most. Repeated rows score alike; repeated or null labels: the largest counts,
 nulls teach nothing; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -69,7 +70,8 @@ def fitted(share: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 class Index:
-    def __init__(self, rows: list[tuple[int, str, int]], block: int = 64, k: int = 9):
+    def __init__(self, rows: list[tuple[int, str, int]], block: int = 64, k: int = 9, weigh: tuple[float, float] = (1.0, 1.0)):
+        """`weigh`: how many labelled rows an example of label 0 and one of label 1 stand for."""
         self.k, self.block, self.id = k, block, {}
         terms, counts = [], []
         for _, text, _ in rows:
@@ -78,9 +80,10 @@ class Index:
             counts.append(np.fromiter(found.values(), np.float32, len(found)))
         pos, neg = np.zeros(len(self.id)), np.zeros(len(self.id))
         for (*_, y), t in zip(rows, terms):
-            (pos if y else neg)[t] += 1
-        self.rare = float(np.log(1 + len(rows)))  # weight of a term that no example has
-        self.idf = np.log((1 + len(rows)) / np.maximum(1, pos + neg)) * np.log2(2 + pos / np.maximum(1, neg))
+            (pos if y else neg)[t] += weigh[y]
+        size = sum(weigh[y] for *_, y in rows)
+        self.rare = float(np.log(1 + size))  # weight of a term that no example has
+        self.idf = np.log((1 + size) / np.maximum(1, pos + neg)) * np.log2(2 + pos / np.maximum(weigh[0], neg))
         vectors = [c * self.idf[t] for t, c in zip(terms, counts)]
         # in order of their heaviest term, so that blocks are alike; a text without a word is near to nothing
         order = sorted((i for i in range(len(rows)) if len(terms[i])), key=lambda i: (int(terms[i][np.argmax(vectors[i])]), rows[i][0]))
@@ -95,10 +98,12 @@ class Index:
         self.at_block, self.bounds = self.at[first] // block, np.maximum.reduceat(self.x, first) if len(first) else self.x
         self.first = np.append(first, len(t)).astype(np.int32)
         self.entries = np.searchsorted(t[first], np.arange(len(self.id) + 1)).astype(np.int32)
-        self.prior = 0.1
+        self.prior = sum(weigh[1] for *_, y in rows if y) / size if rows else 0.1
+        # in units of their mean, so that the smoothing is the same for any draw
+        self.weight = np.array([weigh[rows[i][2]] for i in order]) * (len(rows) / size if rows else 1)
         unit = [vectors[i] / np.linalg.norm(vectors[i]) for i in order]
         shares = np.array([self.share(*self.nearest(terms[i], unit[place], place)) for place, i in enumerate(order)])
-        self.line = fitted(shares, self.y, np.ones(len(order)))
+        self.line = fitted(shares, self.y, self.weight)
 
     @property
     def postings(self) -> dict:
@@ -122,8 +127,9 @@ class Index:
         return tuple(sorted(self.vector(text)[0]))
 
     def share(self, near: np.ndarray, at: np.ndarray) -> float:
-        """Smoothed toxic share of the votes."""
-        return (float(near @ self.y[at]) + self.prior * 0.05) / (float(near.sum()) + 0.05)
+        """Smoothed toxic share of the votes; each counts for the labelled rows its example stands for."""
+        votes = near * self.weight[at]
+        return (float(votes @ self.y[at]) + self.prior * 0.05) / (float(votes.sum()) + 0.05)
 
     def nearest(self, terms, weights: np.ndarray | None = None, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and places of the k nearest examples but `skip`, nearest first, ties to the earlier place; every term once without `weights`."""
@@ -155,7 +161,7 @@ class Index:
         terms, weights = self.vector(text)
         near, at = self.nearest(terms, weights) if terms else (np.zeros(0), np.zeros(0, int))
         if not len(at):
-            return self.prior * 0.2, []
+            return min(self.prior, 0.49), []
         return float(logistic(self.line[0] + self.line[1] * self.share(near, at))), self.ids[at].tolist()
 
 
@@ -172,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, per_label: int = 3000) -> I
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < chance * (1 << 30)).select(F.col("doc_id").alias("_d"), "toxic")
     # the draw is bounded by per_label, so its ids are broadcast and no text is shuffled
     rows = docs.where("text is not null").join(F.broadcast(drawn), F.col("doc_id") == F.col("_d")).select("doc_id", "text", "toxic")
-    return Index(sorted((r.doc_id, r.text, r.toxic) for r in rows.collect()))
+    return Index(sorted((r.doc_id, r.text, r.toxic) for r in rows.collect()), weigh=tuple(max(1.0, counts.get(y, 0) / per_label) for y in (0, 1)))
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:

@@ -208,6 +208,15 @@ def test_toxicity_compares_every_text_over_all_terms():
     assert index(rows[50][1])[1][0] == rows[50][0]
 
 
+def test_toxicity_where_labels_are_drawn_down(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    index = toxicity.train(docs, labels, ~toxicity.held_out(), 300)
+    assert index.y.mean() > 0.4 and abs(index.prior - 352 / 3155) < 0.02
+    held = labels.where(toxicity.held_out()).select("doc_id", "toxic")
+    got = toxicity.score(docs.join(held.select("doc_id"), "doc_id"), index).join(held, "doc_id").collect()
+    assert np.mean([x.score >= 0.5 for x in got if x.toxic == 1]) > 0.85 and np.mean([x.score >= 0.5 for x in got if x.toxic == 0]) < 0.03
+
+
 def test_simhash_against_brute_force(spark, odd, empty):
     from linewright.llm.simhash import fingerprint
 

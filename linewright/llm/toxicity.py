@@ -19,7 +19,6 @@ nulls teach nothing; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections import Counter
 
@@ -33,19 +32,18 @@ from ._util import table
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
-@functools.lru_cache(50_000)
-def stems_of(word: str) -> tuple[str, ...]:
-    return tuple(word[:n] + "*" for n in range(4, 9) if len(word) >= n)
-
-
 def vocabulary(text: str | None) -> dict[str, int]:
     """The terms of a text and how often each occurs."""
-    out = Counter(_WORDS(text.lower())) if text else {}
-    stems: dict[str, int] = {}
-    for w, n in out.items():
-        for s in stems_of(w):
+    found = Counter(_WORDS(text.lower())) if text else {}
+    out, left = dict(found), [(w, n) for w, n in found.items() if len(w) >= 4]
+    for size in range(4, 9):  # a prefix that begins one word only has no longer one that begins two
+        stems: dict[str, int] = {}
+        for w, n in left:
+            s = w[:size]
             stems[s] = stems.get(s, 0) + n
-    return {**out, **{s: n for s, n in stems.items() if n > 1}}
+        out.update({s + "*": n for s, n in stems.items() if n > 1})
+        left = [(w, n) for w, n in left if len(w) > size and stems[w[:size]] > 1]
+    return out
 
 
 def ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +91,13 @@ class Index:
         x = np.concatenate([np.zeros(0, np.float32), *((vectors[i] / np.linalg.norm(vectors[i])).astype(np.float32) for i in order)])
         by = np.argsort(t, kind="stable")
         t, self.at, self.x = t[by], at[by], x[by]
+        # terms of more than a sixteenth of the examples are summed as dense rows, the others by postings
+        often = np.flatnonzero(np.bincount(t, minlength=len(self.id)) * 16 > len(order))
+        self.row = np.full(len(self.id), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), -(-len(order) // block) * block), np.float32)
+        mine = self.row[t] >= 0
+        self.dense[self.row[t[mine]], self.at[mine]] = self.x[mine]
         # one entry for each block that has the term: its first posting and largest weight
         first = np.flatnonzero((np.diff(t, prepend=-1) != 0) | (np.diff(self.at // block, prepend=-1) != 0))
         self.at_block, self.bounds = self.at[first] // block, np.maximum.reduceat(self.x, first) if len(first) else self.x
@@ -136,11 +141,16 @@ class Index:
         terms = np.asarray(terms, int)
         if weights is None:
             weights = self.idf[terms] / np.linalg.norm(self.idf[terms])
+        rows = self.row[terms]
+        frequent = rows >= 0
+        sums = weights[frequent].astype(np.float32) @ self.dense[rows[frequent]]
+        terms, weights = terms[~frequent], weights[~frequent]
         entries, size = ranges(self.entries[terms], self.entries[terms + 1])
         blocks, weight = self.at_block[entries], np.repeat(weights, size)
-        bound = np.bincount(blocks, weight * self.bounds[entries], len(self.y) // self.block + 1)
+        bound = sums.reshape(-1, self.block).max(axis=1) + np.bincount(blocks, weight * self.bounds[entries], len(sums) // self.block)
+        sums = sums.astype(float)
         left = np.argsort(-bound, kind="stable")
-        left, sums, take, least = left[bound[left] > 0], np.zeros(len(self.y)), 8, 0.0
+        left, take, least = left[bound[left] > 0], 8, 0.0
         while len(left):
             now, left, take = left[:take], left[take:], 4 * take
             chosen = np.zeros(len(bound), bool)
@@ -152,7 +162,7 @@ class Index:
                 sums[skip] = 0
             if len(sums) >= self.k:
                 least = np.partition(sums, -self.k)[-self.k]
-            left = left[bound[left] >= least - 1e-9]
+            left = left[bound[left] >= least - 1e-6]
         best = np.flatnonzero((sums >= least) & (sums > 0))
         best = best[np.lexsort((best, -sums[best]))][: self.k]
         return sums[best], best
@@ -187,7 +197,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            got = [held.value(t) for t in batch["text"].to_pylist()]
+            got = [held.value(t.as_py()) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, evidence array<long>")

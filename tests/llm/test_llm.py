@@ -267,6 +267,14 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.report(odd, bench.limit(0)).where("contaminated").count() == 0 and decontaminate.report(empty, bench).count() == 0
 
 
+def test_decontamination_by_items_without_id(spark):
+    bench = spark.createDataFrame([(None, "short item"), (1, "other words")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a short item"), (2, "short item, other words"), (3, "clean")], "doc_id long, text string")
+    got = {x.doc_id: (x.n_hit, x.n_items, x.items_sha256[:4], x.contaminated) for x in decontaminate.report(docs, bench).collect()}
+    assert got == {1: (2, 1, "e3b0", True), 2: (4, 2, "6b86", True), 3: (0, 0, "e3b0", False)}  # as the SQL gives
+    assert {x.doc_id for x in decontaminate.clean(docs, bench).collect()} == {3}
+
+
 def test_pipeline(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     docs = {x.doc_id: x.text for x in table(spark, SF, "documents").collect()}

@@ -1,10 +1,10 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by counting hashes at content-selected seeds, in place of a sorted suffix array.
 
-A suffix is kept where its first `SEED` words are the least hash of some run of `RUN`
+A seed is kept where its `SEED` words have the least hash of some run of `RUN`
 neighbouring seeds (a content-selected minimiser), so any passage of SEED + RUN - 1 = 50
-words holds one, the same in every copy. Suffixes are brought together in seed order and
-those with an equal neighbour survive; around these, matches are extended left and right
-to every window of 50 words whose least seed it is. A window found in two documents, or
+words holds one, the same in every copy. Seeds are grouped by hash and
+those that repeat survive; then every window of 50 words whose least seed survives is
+hashed and grouped in turn. No suffixes are sorted and no matches are extended. A window found in two documents, or
 twice in one, is repeated. Of each repeated window the occurrence in the smallest doc_id
 (there, the first) is kept and the others are removable (`kept` spans are
 reported where another document shares them); adjoining windows form spans.

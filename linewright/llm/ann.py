@@ -9,8 +9,8 @@ span the block. Vectors over the threshold are verified by exact cosine.
 
 Base rows and queries are dealt into blocks of bounded size, each query block against
 each base block; every block gives its k best, which are merged per query. A query's own
-row is no candidate. Vectors null, zero or with null or non-finite components, or of
-another length than most, take no part. Ties go to the smaller vec_id. Repeated rows are
+row is no candidate. Vectors null, zero or with null or non-finite components
+take no part; each vector length is searched on its own. Ties go to the smaller vec_id. Repeated rows are
 separate candidates. An empty table gives no rows. Extra columns are ignored.
 """
 
@@ -58,14 +58,12 @@ def search(vectors: DataFrame, chosen, k: int = 5, block: int = 16_384) -> DataF
     x = F.col("embedding")
     sane = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     rows = vectors.where("vec_id is not null").where(sane).select("vec_id", x.cast("array<double>").alias("v"), F.size(x).alias("d"), chosen.alias("q"))
-    sizes = rows.groupBy("d").agg(F.count("*").alias("n"), F.count_if("q").alias("m")).orderBy(F.desc("n"), "d").first()
-    if sizes is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.col("d") == sizes.d)
-    nb, nq = -(-sizes.n // block), max(1, -(-sizes.m // 256))
-    spread = F.xxhash64("vec_id", "v")
-    base = rows.select("vec_id", "v", F.lit(False).alias("q"), F.pmod(spread, F.lit(nb)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("c"))
-    asks = rows.where("q").select("vec_id", "v", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))).alias("b"), F.pmod(spread, F.lit(nq)).cast("int").alias("c"))
+    # each length is searched on its own, with its own numbers of blocks
+    sizes = rows.groupBy(F.col("d").alias("_d")).agg(F.ceil(F.count("*") / block).alias("nb"), F.ceil(F.count_if("q") / 256).alias("nq")).where("nq > 0")
+    rows = rows.join(F.broadcast(sizes), F.col("d") == F.col("_d"))
+    spread, zero, one = F.xxhash64("vec_id", "v"), F.lit(0).cast("long"), F.lit(1).cast("long")
+    base = rows.select("d", "vec_id", "v", F.lit(False).alias("q"), F.pmod(spread, F.col("nb")).alias("b"), F.explode(F.sequence(zero, F.col("nq") - one)).alias("c"))
+    asks = rows.where("q").select("d", "vec_id", "v", "q", F.explode(F.sequence(zero, F.col("nb") - one)).alias("b"), F.pmod(spread, F.col("nq")).alias("c"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         is_q = pdf["q"].to_numpy(bool)
@@ -74,7 +72,7 @@ def search(vectors: DataFrame, chosen, k: int = 5, block: int = 16_384) -> DataF
         v, ids = np.array(pdf["v"].to_list(), float), pdf["vec_id"].to_numpy()
         return pd.DataFrame(block_search(ids[~is_q], v[~is_q], ids[is_q], v[is_q], k), columns=["query_id", "vec_id", "score"])
 
-    best = base.union(asks).groupBy("b", "c").applyInPandas(run, "query_id long, vec_id long, score double")
+    best = base.union(asks).groupBy("d", "b", "c").applyInPandas(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -159,6 +159,12 @@ def test_ann_recall_and_edges(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_ann_searches_each_length(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (50, [1.0, 0.0, 0.0]), (51, [1.0, 0.1, 0.0]), (3, [1.0, 1.0]), (4, [1.0])]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
+    assert {q: [x.vec_id for x in sorted(found, key=lambda x: x.rank) if x.query_id == q] for q in (0, 50)} == {0: [1, 3, 2], 50: [51]}
+
+
 def test_langid(spark, odd, empty):
     sf = "/root/testdata/sf0.01"
     docs = table(spark, sf, "documents")

@@ -4,7 +4,8 @@ A tolerant tokenizer turns a page into leaf blocks: runs of text between block-l
 tags, each with its open ancestors. Ancestor tags, the words of their class, id and role,
 and features of the text feed a two-label CRF (content or not). It is trained by gradient
 ascent on labelled pages that `labelled_pages` writes from a seed, and decoded by Viterbi.
-Scripts, styles, other raw elements and comments are never text.
+Scripts, styles, other raw elements and comments are never text; of raw elements without an
+end tag only the open tag is skipped (scripts, styles and titles run to the end of the page).
 
 Null html: empty text. Null ids and repeated rows are handled like any other row. An
 empty table gives no rows; extra columns are ignored.
@@ -49,7 +50,7 @@ def blocks(page: str):
         parts.clear()
         linked = total = 0
 
-    at, links = 0, 0
+    at, links, unclosed = 0, 0, set()
     while True:
         m = _TOKEN.search(page, at)
         piece = page[at : m.start() if m else len(page)]
@@ -67,9 +68,14 @@ def blocks(page: str):
                 links = 0 if end else 1
             continue
         if tag in RAW:
-            if not end:
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else len(page)
+            if not end and not (tag == "svg" and m.group(0).endswith("/>")):
+                stop = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                if stop:
+                    at = stop.end()
+                elif tag in ("script", "style", "title"):
+                    at = len(page)
+                else:
+                    unclosed.add(tag)
                 parts.append(" ")
             continue
         if tag == "br":

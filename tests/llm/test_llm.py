@@ -132,6 +132,12 @@ def test_html(spark):
     assert right / n > 0.97
 
 
+def test_html_raw_elements_without_end_tag():
+    for tag in ('<svg width="1"/>', "<option>", "<button>", "<noscript>", '<svg viewBox="0"/><svg><text>no</text></svg>'):
+        assert [t for t, _, _ in htmltext.blocks(f"<article><p>One {tag}two.</p><p>Three.</p></article>")] == ["One two.", "Three."]
+    assert [t for t, _, _ in htmltext.blocks("<p>One <option>a</option>two.<script>var x; <p>three")] == ["One two."]
+
+
 def test_urls(spark):
     urls = {"http://A.example.com/en/72?x": "allow", "http://a.com/en/1": "block", "http://com/en/": "block", "http://xcom/en/": "allow", "http://q.example.net/de/80": "block", "http://q.net/de/80": "allow", "no scheme": "allow", None: "allow", "http://x.org/es/#q": "block", "http://x.org?es/": "allow", "https://e.example.com/en": "allow"}
     got = {x.page_id: x for x in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}

@@ -188,36 +188,46 @@ def test_toxicity(spark, odd, empty):
     caught = [x.predicted for x in got if x.toxic == 1]
     wrong = [x.predicted for x in got if x.toxic == 0]
     assert np.mean(caught) > 0.9 and np.mean(wrong) < 0.03
+    # calibration: in each band of scores the toxic share of held-out rows is near the mean score
+    scores, toxic = np.array([x.score for x in got]), np.array([x.toxic for x in got])
+    assert np.mean((scores - toxic) ** 2) < 0.02
+    for low, high in ((0, 0.02), (0.02, 0.5), (0.5, 1.01)):
+        band = (scores >= low) & (scores < high)
+        assert abs(scores[band].mean() - toxic[band].mean()) < 0.1
     index = toxicity.train(docs, labels, F.lit(True), 200)
-    m = np.zeros((len(index.y), len(index.idf)))
-    for t, (at, x, _, _) in index.postings.items():
-        m[at, t] = x
-    for x in docs.limit(200).collect():
-        q = index.query(x.text)
-        if q:
-            w = index.idf[list(q)] / np.linalg.norm(index.idf[list(q)])
-            near, _ = index.nearest(q)
-            want = np.sort((m[:, list(q)] @ w))[::-1][: index.k]
-            assert np.allclose(near, want[want > 0][: len(near)])
+    assert len(index.ids) <= 400
     assert all(0 <= x.score < 0.5 for x in toxicity.score(odd, index).collect())
     blank = toxicity.train(empty, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
     assert toxicity.score(odd, blank).count() == 13 and toxicity.score(empty, blank).count() == 0
 
 
-def test_toxicity_compares_every_text_over_all_terms():
+def test_toxicity_compares_every_text_over_all_terms(spark):
     r = random.Random(7)
     rows = [(i, words(r, 30) + (" foul" * 3 if i < 20 else ""), int(i < 20)) for i in range(120)]
-    index = toxicity.Index(rows)
-    assert len(index.ids) == 120  # also those without a term of the label
-    bags = [toxicity.vocabulary(t) for _, t, _ in rows]
-    full = [{t: n * index.idf[index.id[t]] for t, n in b.items()} for b in bags]
-    for text in (rows[50][1] + " novel words", "foul foul " + rows[60][1], "foul " + words(r, 400)):
-        q = {t: n * (index.idf[index.id[t]] if t in index.id else index.rare) for t, n in toxicity.vocabulary(text).items()}
-        cos = [sum(w * v.get(t, 0) for t, w in q.items()) / np.linalg.norm(list(q.values())) / np.linalg.norm(list(v.values())) for v in full]
-        near, at = index.nearest(*index.vector(text))
-        assert np.allclose(near, sorted(cos, reverse=True)[: index.k], atol=1e-5)
-        assert index(text)[1] == index.ids[at].tolist() and len(at) == index.k
-    assert index(rows[50][1])[1][0] == rows[50][0]
+    real = table(spark, SF, "documents").join(table(spark, SF, "labels"), "doc_id").where("text is not null").collect()
+    cases = [(rows, [rows[50][1] + " novel words", "foul foul " + rows[60][1], "foul " + words(r, 400)]), ([(x.doc_id, x.text, x.toxic) for x in real[:150]], [x.text for x in real[100:]])]
+    for rows, texts in cases:
+        bags = [(i, toxicity.vocabulary(t), y) for i, t, y in rows]
+        index = toxicity.Index(bags, block=4)
+        assert len(index.ids) == sum(bool(b) for _, b, _ in bags)  # also those without a term of the label
+        weigh = lambda b: {t: (1 + np.log(n)) * (index.idf[index.id[t]] if t in index.id else index.rare) for t, n in b.items()}
+        full = {i: weigh(b) for i, b, _ in bags}
+        found = index.nearest([index.vector(toxicity.vocabulary(t)) for t in texts])
+        for text, (near, at), (score, evidence) in zip(texts, found, index.scores(texts)):
+            q = weigh(toxicity.vocabulary(text))
+            size = np.linalg.norm(list(q.values()))
+            cos = sorted((sum(w * v.get(t, 0) for t, w in q.items()) / size / np.linalg.norm(list(v.values())) for v in full.values() if v), reverse=True)
+            want = np.array([c for c in cos[: index.k] if c > 1e-9])
+            assert np.allclose(near[: len(want)], want, atol=1e-5) and evidence == index.ids[at].tolist() and 0 <= score <= 1
+
+
+def test_toxicity_draw_is_bounded_and_names_may_clash(spark):
+    docs = spark.createDataFrame([(1, f"foul word {i}", 0, "x", 3) for i in range(500)] + [(2, "fair words", 1, "y", 4), (3, None, 0, "z", 5)], "doc_id long, text string, toxic int, _d string, _y int")
+    labels = spark.createDataFrame([(1, 1, "a"), (1, 0, "b"), (2, 0, "c"), (3, 0, "d"), (None, 1, "e"), (4, None, "f")], "doc_id long, toxic int, text string")
+    index = toxicity.train(docs, labels, F.lit(True), 2)
+    assert sorted(index.ids.tolist()) == [1, 2] and index.y[index.ids.tolist().index(1)] == 1  # a repeated doc_id is one example
+    got = toxicity.score(docs, index).collect()
+    assert len(got) == 502 and len({x.score for x in got if x.doc_id == 3}) == 1
 
 
 def test_toxicity_where_labels_are_drawn_down(spark):

@@ -1,9 +1,13 @@
 """Main text of web pages by a linear-chain conditional random field over leaf blocks.
 
-A tolerant tokenizer turns a page into leaf blocks: runs of text between block-level
-tags, each with its open ancestors. Ancestor tags, the words of their class, id and role,
-and features of the text feed a two-label CRF (content or not). It is trained by gradient
-ascent on labelled pages that `labelled_pages` writes from a seed, and decoded by Viterbi.
+A tolerant, forward-only tokenizer turns a page into leaf blocks: runs of text between
+block-level tags, each with the features of its open ancestors. A tag ends at the first
+`>` outside quotes; from an attribute whose quote never closes on, at the first `>`. Every
+character is read a bounded number of times and an open element keeps a mask of fixed size
+over its ancestors, so time and memory grow in proportion to the page, however broken.
+Ancestor tags, the words of their class, id and role, and features of the text feed a
+two-label CRF (content or not). It is trained by gradient ascent on labelled pages that
+`labelled_pages` writes from a seed, and decoded by Viterbi.
 Scripts, styles, other raw elements and comments are never text; of raw elements without an
 end tag only the open tag is skipped (scripts, styles and titles run to the end of the page).
 
@@ -17,6 +21,7 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,46 +35,70 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 HINTS = ("nav", "menu", "header", "footer", "sidebar", "aside", "notice", "cookie", "banner", "ad", "ads", "advert", "promo", "sponsor", "form", "comment", "comments", "reply", "share", "social", "related", "breadcrumb", "widget", "consent", "popup", "subscribe", "newsletter", "login", "search", "article", "content", "main", "post", "entry", "story", "body", "text", "caption", "note")
 TAGS = ("article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "p", "div", "table", "td", "h1", "h2", "h3", "h4", "blockquote", "pre", "figure", "figcaption", "dl", "fieldset", "body", "head")
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\"']*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ZEROS = re.compile(r"&#([xX]?)0{7,}+")
+_LARGE = re.compile(r"&#(?:[xX]0*+[0-9a-fA-F]{7,}+|0*+[0-9]{8,}+);?")
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 NAMES = [f"tag:{t}" for t in TAGS] + [f"hint:{h}" for h in HINTS] + ["bias", "linked", "half", "short", "medium", "long", "stop", "parent:p", "first", "in:other"]
 AT = {n: i for i, n in enumerate(NAMES)}
+BIT = {n: 1 << i for i, n in enumerate(NAMES)}
+_INSIDE = 1 << len(NAMES)  # some ancestor is the article
+
+
+@functools.lru_cache(4096)
+def _own(tag: str, attributes: str) -> int:
+    """Mask of an element by itself."""
+    words = re.findall(r"[a-z]+", " ".join("".join(g) for g in _ATTR.findall(attributes)).lower()) if attributes else ()
+    out = BIT.get(f"tag:{tag}", 0) | (_INSIDE if tag in ("article", "main") else 0)
+    for w in set(words):
+        out |= BIT.get(f"hint:{w}", 0)
+    return out
 
 
 def blocks(page: str):
-    """[(text, ancestors, share of linked characters)]; ancestors: (tag, words of class, id and role) from the root."""
-    out, stack, parts = [], [], []
-    linked = total = 0
-
-    def close():
-        nonlocal linked, total
-        text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
-        if text:
-            out.append((text, tuple(stack), linked / max(1, total)))
-        parts.clear()
-        linked = total = 0
-
-    at, links, unclosed = 0, 0, set()
-    while True:
-        m = _TOKEN.search(page, at)
-        piece = page[at : m.start() if m else len(page)]
-        if piece:
-            parts.append(piece)
-            total += len(piece)
-            linked += len(piece) if links else 0
+    """[(text, mask of its ancestors, share of linked characters)] in page order."""
+    out, parts = [], []
+    masks, tags, open_ = [0], [""], Counter()  # open elements, under the root
+    linked = total = links = at = 0
+    last, pattern, unclosed = page.rfind(">"), _TAG, set()
+    while at < len(page):
+        start = page.find("<", at)
+        if start < 0 or start > last:
+            start = len(page)
+        if start > at:
+            parts.append(page[at:start])
+            total += start - at
+            if links:
+                linked += start - at
+            at = start
+            if at == len(page):
+                break
+        m = pattern.match(page, at)
         if not m:
-            break
-        at, (end, tag) = m.end(), (m.group(1), (m.group(2) or "").lower())
-        if not tag:
-            continue
+            if page.startswith("<!--", at):
+                stop = page.find("-->", at + 4)
+                at = stop + 3 if stop >= 0 else len(page)
+                continue
+            if page.startswith(("<!", "<?"), at):
+                at = page.find(">", at) + 1
+                continue
+            if pattern is _TAG and (m := _LOOSE.match(page, at)):
+                pattern = _LOOSE  # a quote never closes: from here on a tag ends at the first `>`
+            else:
+                parts.append("<")
+                total += 1
+                at += 1
+                continue
+        end, tag, attributes, at = m[1], m[2].lower(), m[3], m.end()
         if tag in INLINE:
             if tag == "a":
                 links = 0 if end else 1
             continue
         if tag in RAW:
-            if not end and not (tag == "svg" and m.group(0).endswith("/>")):
-                stop = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if not end and not (tag == "svg" and attributes.endswith("/")):
+                stop = None if tag in unclosed else _raw_end(tag).search(page, at)
                 if stop:
                     at = stop.end()
                 elif tag in ("script", "style", "title"):
@@ -81,44 +110,69 @@ def blocks(page: str):
         if tag == "br":
             parts.append(" ")
             continue
-        close()
-        links = 0
+        if parts:
+            text = clean("".join(parts))
+            if text:
+                out.append((text, masks[-1] | _leaf(tags[-1]), linked / max(1, total)))
+            parts = []
+        linked = total = links = 0
         if tag in VOID:
             continue
         if end:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag == "p":
-                    break
+            if open_[tag] and (tag != "p" or tags[-1] == "p"):
+                while True:
+                    masks.pop()
+                    gone = tags.pop()
+                    open_[gone] -= 1
+                    if gone == tag:
+                        break
         else:
-            while stack and (stack[-1][0] == "p" or (tag == "li" and stack[-1][0] == "li")):
-                stack.pop()
-            words = frozenset(re.findall(r"[a-z]+", " ".join("".join(g) for g in _ATTR.findall(m.group(3))).lower())) if m.group(3) else frozenset()
-            stack.append((tag, words))
-    close()
+            while tags[-1] == "p" or tag == tags[-1] == "li":
+                masks.pop()
+                open_[tags.pop()] -= 1
+            masks.append(masks[-1] | _own(tag, attributes if len(attributes) < 1024 else _hints(attributes)))
+            tags.append(tag)
+            open_[tag] += 1
+    text = clean("".join(parts))
+    if text:
+        out.append((text, masks[-1] | _leaf(tags[-1]), linked / max(1, total)))
     return out
 
 
+@functools.lru_cache(64)
+def _raw_end(tag: str):
+    return re.compile(rf"</{re.escape(tag)}\s*+>", re.I)
+
+
+def _hints(attributes: str) -> str:
+    """Very long attributes in short, so that the cache stays small: the known words of class, id and role."""
+    words = set(re.findall(r"[a-z]+", " ".join("".join(g) for g in _ATTR.findall(attributes)).lower()))
+    return f'class="{" ".join(sorted(words & set(HINTS)))}"'
+
+
+def _leaf(tag: str) -> int:
+    return BIT["parent:p"] if tag == "p" else 0
+
+
+def clean(text: str) -> str:
+    """Character references decoded, white space to one blank; numbers beyond any character are U+FFFD."""
+    if "&" in text:
+        if "&#" in text:
+            text = _LARGE.sub("\ufffd", _ZEROS.sub(r"&#\1", text))
+        text = html.unescape(text)
+    return _SPACE.sub(" ", text).strip()
+
+
 @functools.lru_cache(20_000)
-def _path_features(path) -> tuple[int, ...]:
-    on = {AT["bias"]}
-    inside = False
-    for tag, words in path:
-        on.update(AT[k] for k in [f"tag:{tag}", *(f"hint:{w}" for w in words)] if k in AT)
-        inside |= tag in ("article", "main")
-    if path and path[-1][0] == "p":
-        on.add(AT["parent:p"])
-    if not inside:
-        on.add(AT["in:other"])
-    return tuple(sorted(on))
+def _columns(mask: int) -> tuple[int, ...]:
+    mask |= BIT["bias"] | (0 if mask & _INSIDE else BIT["in:other"])
+    return tuple(i for i in range(len(NAMES)) if mask >> i & 1)
 
 
 def features(found) -> np.ndarray:
     x = np.zeros((len(found), len(NAMES)), np.float32)
-    for i, (text, path, linked) in enumerate(found):
-        x[i, list(_path_features(path))] = 1
+    for i, (text, mask, linked) in enumerate(found):
+        x[i, list(_columns(mask))] = 1
         n = text.count(" ") + 1
         x[i, AT["linked"]], x[i, AT["half"]] = linked, linked > 0.5
         x[i, AT["short" if n < 5 else "medium" if n < 20 else "long"]] = 1
@@ -133,20 +187,47 @@ class CRF:
     def __init__(self):
         self.w, self.t = np.zeros((len(NAMES), 2)), np.zeros((2, 2))
 
-    def viterbi(self, x: np.ndarray) -> np.ndarray:
-        s = x @ self.w
-        if len(s) == 0:
-            return np.zeros(0, int)
+    def scores(self, found) -> list[tuple[float, float]]:
+        """features(found) @ w without the matrix: ancestors are scored once per mask."""
+        w, known, out = self.w.tolist(), {}, []
+        linked_, half, stop, first = (w[AT[n]] for n in ("linked", "half", "stop", "first"))
+        sizes = [w[AT[n]] for n in ("short", "medium", "long")]
+        for text, mask, linked in found:
+            s = known.get(mask)
+            if s is None:
+                s = known[mask] = tuple(self.w[list(_columns(mask))].sum(axis=0).tolist())
+            n = text.count(" ")
+            a, b = s
+            z = sizes[0 if n < 4 else 1 if n < 19 else 2]
+            a, b = a + z[0], b + z[1]
+            if linked:
+                a, b = a + linked * linked_[0], b + linked * linked_[1]
+                if linked > 0.5:
+                    a, b = a + half[0], b + half[1]
+            if text[-1] in ".!?":
+                a, b = a + stop[0], b + stop[1]
+            out.append((a, b))
+        if out:
+            out[0] = (out[0][0] + first[0], out[0][1] + first[1])
+        return out
+
+    def viterbi(self, x: np.ndarray) -> list[int]:
+        return self.decode((x @ self.w).tolist())
+
+    def decode(self, s: list) -> list[int]:
+        """The best labels, given the scores of both labels for each block."""
+        if not s:
+            return []
         (t00, t01), (t10, t11) = self.t.tolist()
-        back, (a, b) = [], s[0].tolist()
-        for u, v in s[1:].tolist():
+        back, (a, b) = [], s[0]
+        for u, v in s[1:]:
             from0, from1 = b + t10 > a + t00, b + t11 > a + t01
             a, b = u + (b + t10 if from0 else a + t00), v + (b + t11 if from1 else a + t01)
             back.append((from0, from1))
         out = [int(b > a)]
         for f in reversed(back):
             out.append(int(f[out[-1]]))
-        return np.array(out[::-1])
+        return out[::-1]
 
     def gradient(self, x, y):
         s, n = x @ self.w, len(y)
@@ -228,7 +309,7 @@ def main_text(page: str | None, model: CRF) -> str:
     found = blocks(page) if page else []
     if not found:
         return ""
-    return "\n".join(t for (t, _, _), y in zip(found, model.viterbi(features(found))) if y)
+    return "\n".join(t for (t, _, _), y in zip(found, model.decode(model.scores(found))) if y)
 
 
 def extract(pages: DataFrame, model: CRF | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force, round trips and held-out accuracy, with edge cases."""
 
 import random
+import time
 import zlib
 from itertools import combinations
 
@@ -138,6 +139,30 @@ def test_html_raw_elements_without_end_tag():
     assert [t for t, _, _ in htmltext.blocks("<p>One <option>a</option>two.<script>var x; <p>three")] == ["One two."]
 
 
+def test_html_time_grows_with_the_page_however_broken():
+    model, n = htmltext.trained(), 1 << 20
+    cases = ["<div>a", "<a ", '<a "', "<a '\"", "<", "<!--", "<!x", "&#", "&", "<option>a", "</script  ", "</b><p>a</div>", '<div class="x', "<li><p>a", "<svg "]
+    for piece in cases:
+        for page in (piece * (n // len(piece)), piece * (n // len(piece)) + ">", "<div " + piece * (n // len(piece)) + "></div>"):
+            began = time.perf_counter()
+            htmltext.main_text(page, model)
+            assert time.perf_counter() - began < 2, piece  # a loaded machine; under half a second alone
+    began = time.perf_counter()
+    htmltext.main_text("<div>a" * 80_000 + "</i></section></p>" * 40_000 + '<div ' + 'class="x" ' * 50_000 + ">&#" + "1" * 100_000, model)
+    assert time.perf_counter() - began < 2
+
+
+def test_html_references_quotes_and_repeats(spark):
+    assert htmltext.clean("a&#0000065;&#x00000000041;&#99999999999;&#xFFFFFFFF;&#12;&amp;lt; \xa0 b") == "aAA\ufffd\ufffd &lt; b"
+    assert htmltext.clean("&#" + "0" * 9000 + "65;&#" + "7" * 9000) == "A\ufffd"
+    assert [t for t, _, _ in htmltext.blocks("<p title='a > b'>One</p><p title=\"x>two</p><p>three")] == ["One", "two", "three"]
+    page = "<article><p>" + "Some words of the article. " * 5 + "</p></article>"
+    df = spark.createDataFrame([(1, "u", page, 1), (1, "u", page, 2), (None, None, None, 3)], "page_id long, url string, html string, n_chars int")
+    got = sorted(((x.page_id or 0), x.text, x.n_chars) for x in htmltext.extract(df).collect())
+    assert got[0] == (0, "", 0) and got[1] == got[2] == (1, ("Some words of the article. " * 5).strip(), 134)
+    assert htmltext.extract(df.limit(0)).count() == 0
+
+
 def test_urls(spark):
     urls = {"http://A.example.com/en/72?x": "allow", "http://a.com/en/1": "block", "http://com/en/": "block", "http://xcom/en/": "allow", "http://q.example.net/de/80": "block", "http://q.net/de/80": "allow", "no scheme": "allow", None: "allow", "http://x.org/es/#q": "block", "http://x.org?es/": "allow", "https://e.example.com/en": "allow"}
     got = {x.page_id: x for x in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}

@@ -170,24 +170,65 @@ def test_urls(spark):
     assert got[0].rule == "example.com/en/7" and (got[6].host, got[6].path, got[6].rule) == ("", "", None)
 
 
-def test_ann_recall_and_edges(spark):
-    df = table(spark, SF, "embeddings")
-    rows = [(x.vec_id, np.array(x.embedding, float)) for x in df.collect()]
-    m = np.array([v for _, v in rows])
+def brute_neighbours(rows, k=5):
+    """{query id: [(answers of each of its rows)]} over rows (id, vector)."""
+    out, m = {}, np.array([v for _, v in rows], float)
+    size = np.sqrt((m * m).sum(axis=1))
+    for i, (q, _) in enumerate(rows):
+        if q % 50 == 0:
+            cos = (m * m[i]).sum(axis=1) / (size * size[i])
+            out.setdefault(q, []).append(sorted((-c, d) for j, (c, (d, _)) in enumerate(zip(cos, rows)) if j != i)[:k])
+    return out
+
+
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
+def test_ann_recall(spark, sf):
+    df = table(spark, sf, "embeddings")
+    want = brute_neighbours([(x.vec_id, x.embedding) for x in df.collect()])
+    for chunk, block in ((16_384, 16 << 20), (300, 4096)):
+        got = {}
+        for x in ann.search(df, F.col("vec_id") % 50 == 0, chunk=chunk, block_bytes=block).collect():
+            got.setdefault(x.query_id, {})[x.rank] = (x.vec_id, x.score)
+        assert set(got) == set(want) and all(sorted(g) == [1, 2, 3, 4, 5] for g in got.values())
+        hit = sum(len({d for _, d in want[q][0]} & {d for d, _ in got[q].values()}) for q in want)
+        assert hit / (5 * len(want)) >= 0.9
+        assert all(abs(s + dict((d, c) for c, d in want[q][0]).get(v, -s)) < 1e-12 for q in want for v, s in got[q].values())
+
+
+def test_ann_edges(spark):
+    odd = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [0.0, 2.0]), (None, [1.0, 1.0]), (7, []), (8, [float("inf"), 1.0])]
+    df = spark.createDataFrame([(*r, 9, "x") for r in odd], "vec_id long, embedding array<float>, v int, k1 string")
+    found = ann.search(df, F.col("vec_id") % 50 == 0).collect()
+    assert [(x.rank, x.vec_id) for x in sorted(found, key=lambda x: x.rank) if x.query_id == 0] == [(1, 1), (2, 50), (3, 6)]
+    assert ann.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    large = spark.createDataFrame([(0, [1e300, 0.0]), (1, [1e300, 1e300]), (2, [1e-200, 0.0])], "vec_id long, embedding array<double>")
+    assert [(x.vec_id, round(x.score, 9)) for x in ann.search(large, F.col("vec_id") == 0).orderBy("rank").collect()] == [(2, 1.0), (1, 0.707106781)]
+
+
+def test_ann_repeated_rows_and_ids(spark):
+    r = random.Random(9)
+    vec = lambda: [r.uniform(-1, 1) for _ in range(6)]
+    rows = [(i, vec()) for i in range(40)]
+    rows += [rows[0], rows[0], (0, vec()), rows[1], rows[1], (3, rows[0][1]), (50, rows[0][1])]  # repeated queries, an id with two vectors, repeated candidates
+    want = brute_neighbours(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
     got = {}
     for x in ann.search(df, F.col("vec_id") % 50 == 0).collect():
-        got.setdefault(x.query_id, {})[x.vec_id] = x.score
-    hit = n = 0
-    for i, (q, v) in enumerate(rows):
-        if q % 50 == 0:
-            cos = (m @ v) / (np.linalg.norm(m, axis=1) * np.linalg.norm(v))
-            want = sorted((-c, j) for c, (j, _) in zip(cos, rows) if j != q)[:5]
-            hit, n = hit + len({j for _, j in want} & set(got[q])), n + 5
-    assert hit / n >= 0.9
-    odd = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [0.0, 2.0]), (None, [1.0, 1.0])]
-    found = ann.search(spark.createDataFrame(odd, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
-    assert [(x.rank, x.vec_id) for x in found if x.query_id == 0] == [(1, 1), (2, 50), (3, 6)]
-    assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
+        got.setdefault((x.query_id, x.rank), []).append((x.vec_id, round(x.score, 9)))
+    for q, answers in want.items():
+        for k in range(5):
+            assert sorted(got[q, k + 1]) == sorted((a[k][1], round(-a[k][0], 9)) for a in answers)
+
+
+def test_ann_shuffle_grows_with_the_queries_alone(spark):
+    df = table(spark, SF, "embeddings").limit(400)
+    rows = {}
+    for n in (1, 4):
+        many = df.crossJoin(spark.range(n)).select((F.col("vec_id") + 100_000 * F.col("id")).alias("vec_id"), F.transform("embedding", lambda v: v + F.col("id") * 0.01 * F.rand(3)).alias("embedding"))
+        plan = ann.search(many, F.col("vec_id") % 50 == 0)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" in plan and plan.count("MapInArrow") == 1 and "RepartitionByExpression" not in plan  # the table itself is never dealt out
+        rows[n] = ann.search(many, F.col("vec_id") % 50 == 0).count()
+    assert rows[4] == 4 * rows[1]
 
 
 def test_ann_searches_each_length(spark):

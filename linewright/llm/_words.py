@@ -69,7 +69,7 @@ def window_hashes(sums: np.ndarray, starts: np.ndarray, length: int, powers: Pow
         return mix((sums[starts + length] - sums[starts]) * down[starts])
 
 
-def _sliding(x: np.ndarray, window: int, pick) -> np.ndarray:
+def sliding(x: np.ndarray, window: int, pick) -> np.ndarray:
     """pick (minimum or maximum) over each run of `window` entries, by doubling."""
     have = 1
     while 2 * have <= window:
@@ -77,15 +77,3 @@ def _sliding(x: np.ndarray, window: int, pick) -> np.ndarray:
         have *= 2
     rest = window - have
     return pick(x[: len(x) - rest], x[rest:]) if rest else x
-
-
-def minimisers(keys: np.ndarray, window: int) -> np.ndarray:
-    """Positions holding the least key of some run of `window` neighbours, ascending.
-
-    Ties are all kept, so the choice depends on the content of the run alone.
-    """
-    if len(keys) <= window:
-        return np.flatnonzero(keys == keys.min()) if len(keys) else np.zeros(0, np.int64)
-    least = _sliding(keys, window, np.minimum)
-    edge = np.zeros(window - 1, keys.dtype)
-    return np.flatnonzero(_sliding(np.concatenate((edge, least, edge)), window, np.maximum) == keys)

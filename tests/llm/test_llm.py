@@ -92,15 +92,35 @@ def test_suffix_dedup_against_brute_force(spark, odd, empty):
                     at.setdefault((p[0], p == min(places)), set()).update(range(p[1], p[1] + 50))
         return at
 
-    for df in (odd.where("doc_id is not null").dropDuplicates(["doc_id"]), table(spark, SF, "documents")):
+    r = random.Random(8)
+    base = [words(r, 1) for _ in range(120)]
+    # matches of one anchor reach further left with one partner and further right with another; few words, much repetition
+    stairs = [(0, " ".join(base)), (1, " ".join(base[:60])), (2, " ".join(words(r, 5).split() + base[20:75])), (3, " ".join(base[30:90] + words(r, 9).split())), (4, " ".join(base[45:])), (5, "a b " * 200), (6, "b a " * 120), (7, ("x" * 99 + " ") * 70), (8, "y " + ("X" * 99 + " ") * 60)]
+    stairs += [(9 + i, " ".join(r.choice("ab") for _ in range(90))) for i in range(6)] + [(20 + i, " ".join(words(r, r.randint(0, 30)).split() + base[10:10 + r.randint(45, 80)] + words(r, 5).split())) for i in range(30)]
+    stairs = spark.createDataFrame(stairs, "doc_id long, text string")
+    for df in (odd.where("doc_id is not null").dropDuplicates(["doc_id"]), table(spark, SF, "documents"), stairs):
         want = brute([(x.doc_id, x.text) for x in df.collect() if x.text])
-        got = {}
-        for x in suffixdedup.repeated_spans(df).collect():
-            got.setdefault((x.doc_id, x.kept), set()).update(range(x.start_word, x.start_word + x.n_words))
-        assert got == want
+        for most in (1024, 4, 1):  # also where windows of frequent seeds are counted one by one
+            got = {}
+            for x in suffixdedup.repeated_spans(df, most).collect():
+                got.setdefault((x.doc_id, x.kept), set()).update(range(x.start_word, x.start_word + x.n_words))
+            assert got == want
     out = {(x.doc_id, x.text) for x in suffixdedup.remove_repeats(odd).collect()}
     assert (None, None) in out and 8 not in {d for d, _ in out} and (0, None) in out and (1, "") in out
     assert len(next(t for d, t in out if d == 6).split()) == 50
+    # copies of a row: all words of the further ones; texts of one doc_id are one document
+    two = spark.createDataFrame([(1, words(r, 70)), (2, words(r, 80)), (2, words(r, 60) + " " + words(r, 55))], "doc_id long, text string")
+    two = two.union(two.where("doc_id = 1")).union(two.where("doc_id = 2").limit(1).select("doc_id", F.concat(F.lit("zz "), "text")))
+    spans = sorted(tuple(x) for x in suffixdedup.repeated_spans(two).collect())
+    assert spans[0] == (1, 0, 70, False) and {(d, k) for d, *_, k in spans} == {(1, False), (2, False)} and len(spans) == 2
+    clash = odd.withColumns({"_d": F.lit(1), "_th": F.lit(2), "_spans": F.lit("x"), "th": F.lit(3), "_c1": F.lit(4)})
+    cut = suffixdedup.remove_repeats(clash)
+    assert cut.columns == clash.columns and {(x.doc_id, x.text) for x in cut.collect()} == out and {x._spans for x in cut.collect()} == {"x"}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plan = suffixdedup.remove_repeats(table(spark, SF, "documents"))
+    plan.collect()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ReusedExchange [_c0" in plan._jdf.queryExecution().executedPlan().toString()  # texts are shuffled once
     assert suffixdedup.repeated_spans(empty).count() == 0 and suffixdedup.remove_repeats(empty).count() == 0
 
 

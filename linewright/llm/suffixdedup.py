@@ -37,7 +37,7 @@ from ._util import partitions, table
 from ._words import Powers, mix, prefix, sliding, window_hashes, words_of
 
 LENGTH, SEED, RUN = 50, 26, 25
-MOST = 1024  # suffixes of one seed that one task compares
+MOST = 1 << 16  # suffixes of one seed that one task compares: some 25 MB of text
 CHUNK = 16_384  # suffixes compared at once
 
 
@@ -101,45 +101,58 @@ def _suffix_texts(batches, name):
 
 def _matrix(texts: list[bytes], width: int, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the words of each text, -1 beyond its end, and how many it has."""
-    lists = [t.split() for t in texts]
-    size = np.array([len(w) for w in lists], np.int64)
-    out = np.full((len(texts), width), -1, np.int64)
-    flat = np.fromiter((known.setdefault(w, len(known)) for words in lists for w in words), np.int64, int(size.sum()))
-    out[np.repeat(np.arange(len(texts)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
+    out, size = np.full((len(texts), width), -1, np.int32), np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        ids = [known.setdefault(w, len(known)) for w in t.split()]
+        out[i, : len(ids)] = ids
+        size[i] = len(ids)
     return out, size
 
 
 def compare(h, suffix: list[bytes], before: list[bytes], doc, th, at) -> tuple[np.ndarray, np.ndarray]:
     """For suffixes sorted by (h, text), two masks each: bit l tells that the window l words before the anchor is kept, or removable."""
     n = len(h)
-    known: dict[bytes, int] = {}
-    right, nright = _matrix(suffix, LENGTH, known)
-    left, nleft = _matrix(before, RUN - 1, known)
     kept, removable = np.zeros(n, np.int32), np.zeros(n, np.int32)
-    # common words of sorted neighbours
-    equal = (right[1:] == right[:-1]) & (right[1:] >= 0)
-    common = np.where(equal.all(axis=1), LENGTH, equal.argmin(axis=1))
-    common = np.concatenate(([0], np.where(h[1:] == h[:-1], common, 0)))
     order = np.lexsort((th, at, doc))
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    alike = np.zeros(n, np.int64)  # suffixes with the same l words before the anchor
+    # suffixes alike in all their words are a class; its first member stands for it
+    ids: dict[tuple, int] = {}
+    member = np.fromiter((ids.setdefault(x, len(ids)) for x in zip(suffix, before)), np.int64, n)
+    by = np.lexsort((place, member))
+    first = by[np.flatnonzero(np.diff(member[by], prepend=-1))]
+    top = np.zeros(len(ids), np.int64)
+    np.maximum.at(top, member, place)
+    top = doc[order[top]]  # the largest doc of each class
+    known: dict[bytes, int] = {}
+    right, nright = _matrix([suffix[i] for i in first], LENGTH, known)
+    left, nleft = _matrix([before[i] for i in first], RUN - 1, known)
+    has = np.array([sum(1 << l for l in range(max(0, LENGTH - r), k + 1)) for r, k in zip(nright.tolist(), nleft.tolist())], np.int32)
+    again = np.ones(n, bool)
+    again[first] = False
+    removable[again] = has[member[again]]
+    # common words of sorted neighbours; a class keeps the place of its texts in that order
+    g = h[first]
+    equal = (right[1:] == right[:-1]) & (right[1:] >= 0)
+    common = np.where(equal.all(axis=1), LENGTH, equal.argmin(axis=1))
+    common = np.concatenate(([0], np.where(g[1:] == g[:-1], common, 0)))
+    alike = np.cumsum(np.concatenate(([0], g[1:] != g[:-1])))  # the same seed and the same l words before it
+    m = len(first)
     for l in range(RUN):
         if l:
             alike = np.unique(alike * (len(known) + 1) + left[:, l - 1] + 1, return_inverse=True)[1]
         rows = np.flatnonzero((nleft >= l) & (nright >= LENGTH - l))
-        if len(rows) < 2:
+        if not len(rows):
             continue
-        group = (np.cumsum(common < LENGTH - l) * n + alike)[rows]
-        by = np.argsort(group * n + place[rows])
+        group = (np.cumsum(common < LENGTH - l) * m + alike)[rows]
+        by = np.argsort(group * n + place[first[rows]])
         rows, group = rows[by], group[by]
-        first = np.flatnonzero(np.diff(group, prepend=-1))
-        last = np.append(first[1:], len(rows)) - 1
-        again = np.ones(len(rows), bool)
-        again[first] = False
-        removable[rows[again]] |= np.int32(1 << l)
-        shared = doc[rows[first]] != doc[rows[last]]
-        kept[rows[first[shared]]] |= np.int32(1 << l)
+        head = np.flatnonzero(np.diff(group, prepend=-1))
+        later = np.ones(len(rows), bool)
+        later[head] = False
+        removable[first[rows[later]]] |= np.int32(1 << l)
+        shared = doc[first[rows[head]]] != np.maximum.reduceat(top[rows], head)
+        kept[first[rows[head[shared]]]] |= np.int32(1 << l)
     return kept, removable
 
 

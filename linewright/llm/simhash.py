@@ -1,11 +1,15 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-Distinct fingerprints are dealt out under nine keys: two fingerprints within 2 bits agree
-on one of three bands, and then on one of three parts of the other bits, so every link
-meets under some key. Each task sorts its fingerprints by Gray rank of the bits beside
-the key, factors the bits that neighbours share into upper nodes, and walks pairs of
-nodes from the top, adding up differences and dropping whole groups beyond the limit.
-Links leave a task as a spanning forest, never as all pairs.
+Distinct fingerprints are dealt out three times, each time by one third of their bits: two
+fingerprints within 2 bits agree on some third, so every link meets in some task. A task
+sorts all its fingerprints of one deal by the Gray rank of their bits, the dealt third
+first, factors the bits that neighbours share into upper nodes, and walks pairs of nodes
+from the top, adding up differences and dropping whole groups beyond the limit. Links
+leave a task as a spanning forest, never as all pairs.
+
+Where more than `most` fingerprints share a third (many variants of one template), they
+are dealt again by thirds of the other bits, by the same argument and up to `DEPTH` times;
+then at most 2 ** 19 fingerprints can share the dealt bits.
 
 Null or wordless text: fingerprint zero, linked like any other. A null doc_id takes part
 in linking and is never a component_id unless its component has no other. Repeated rows
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._util import components, cut, partitions, table
 
-BANDS = ((0, 22), (22, 43), (43, 64))
+DEPTH = 3
 
 
 def fingerprint(text: str | None) -> int:
@@ -58,19 +62,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _keys() -> list[tuple[int, int]]:
-    """(band mask, part mask) of the nine keys."""
-    out = []
-    for a, b in BANDS:
-        band = sum(1 << i for i in range(a, b))
-        rest = [i for i in range(64) if not a <= i < b]
-        for k in range(3):
-            part = rest[k * len(rest) // 3 : (k + 1) * len(rest) // 3]
-            out.append((band, sum(1 << i for i in part)))
-    return out
+def thirds(mask: int = 0) -> list[int]:
+    """`mask` with each third of the other bits in turn."""
+    rest = [i for i in range(64) if not mask >> i & 1]
+    return [mask | sum(1 << i for i in rest[k * len(rest) // 3 : (k + 1) * len(rest) // 3]) for k in range(3)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-KEYS = [band | part for band, part in _keys()]
+def leading(x: np.ndarray, mask: int) -> np.ndarray:
+    """x with the bits of the mask moved to the top, in order; distances stay."""
+    order = sorted(range(63, -1, -1), key=lambda i: not mask >> i & 1)
+    bits = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    packed = np.packbits(bits[:, [63 - i for i in order]], axis=1)
+    return np.ascontiguousarray(packed).view(">u8").ravel().astype(np.uint64)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -79,11 +86,15 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def index_links(x: np.ndarray, limit: int, leaf: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of {(i, j): at most `limit` bits differ} over distinct fingerprints."""
+def index_links(x: np.ndarray, limit: int, leaf: int = 16, counts: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of {(i, j): at most `limit` bits differ} over distinct fingerprints.
+
+    `counts` gets the tree's levels and the pairs of nodes visited and dropped at each.
+    """
     order = np.argsort(gray_rank(x), kind="stable")
     s = x[order]
-    parent = np.arange(len(s))
+    parent = list(range(len(s)))
+    label = np.arange(len(s))  # roots as of the last batch
 
     def root(i):
         while parent[i] != i:
@@ -109,8 +120,11 @@ def index_links(x: np.ndarray, limit: int, leaf: int = 16) -> tuple[np.ndarray,
             stack += [(level, p[i : i + 200_000], q[i : i + 200_000]) for i in range(0, len(p), 200_000)]
             continue
         mask, value = levels[level]
-        differ = np.bitwise_count((value[p] ^ value[q]) & mask[p] & mask[q])
-        p, q = p[differ <= limit], q[differ <= limit]
+        near = np.bitwise_count((value[p] ^ value[q]) & mask[p] & mask[q]) <= limit
+        if counts is not None:
+            visited, dropped = counts.setdefault(level, (0, 0))
+            counts[level] = visited + len(p), dropped + int((~near).sum())
+        p, q = p[near], q[near]
         if level:
             n = len(levels[level - 1][0])
             pp = np.concatenate([2 * p, 2 * p, 2 * p + 1, 2 * p + 1])
@@ -124,52 +138,63 @@ def index_links(x: np.ndarray, limit: int, leaf: int = 16) -> tuple[np.ndarray,
             u, v = np.broadcast_arrays(u, v)
             good = (u < v) & (v < len(s))
             u, v = u[good], v[good]
-            near = np.bitwise_count(s[u] ^ s[v]) <= limit
+            near = (np.bitwise_count(s[u] ^ s[v]) <= limit) & (label[u] != label[v])
             for i, j in zip(u[near].tolist(), v[near].tolist()):
                 i, j = root(i), root(j)
                 if i != j:
                     parent[max(i, j)] = min(i, j)
                     a.append(i)
                     b.append(j)
+            if near.any():
+                label = np.array(parent)
+                while not np.array_equal(label, label[label]):
+                    label = label[label]
     return order[np.array(a, np.int64)], order[np.array(b, np.int64)]
 
 
 def _linker(limit: int):
     def run(batches):
-        rows = [(b["k"].to_numpy(), b["fp"].to_numpy()) for b in batches]
+        rows = [(b["m"].to_numpy(), b["fp"].to_numpy()) for b in batches]
         if not rows:
             return
-        k, fp = (np.concatenate(c) for c in zip(*rows))
-        for mask in range(len(KEYS)):
-            x = fp[k == mask].view(np.uint64)
-            part = x & np.uint64(KEYS[mask])
-            order = np.argsort(part, kind="stable")
-            x, part = x[order], part[order]
-            edges = np.flatnonzero(np.diff(part)) + 1
-            bounds = np.concatenate(([0], edges, [len(x)]))
-            sizes = np.diff(bounds)
-            out_a, out_b = [], []
-            for i in np.flatnonzero(sizes > 1):
-                group = x[bounds[i] : bounds[i + 1]]
-                u, v = index_links(group, limit)
-                out_a.append(group[u])
-                out_b.append(group[v])
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in (out_a, out_b)], ["a", "b"])
+        m, fp = (np.concatenate(c) for c in zip(*rows))
+        for mask in np.unique(m).tolist():
+            x = fp[m == mask].view(np.uint64)
+            a, b = index_links(leading(x, mask & (1 << 64) - 1), limit)
+            yield pa.RecordBatch.from_arrays([pa.array(x[a].view(np.int64)), pa.array(x[b].view(np.int64))], ["a", "b"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, limit: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; `limit` is at most 2, what the keys guarantee."""
+def _deal(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
+    """(m, v, fp): every row under each of the masks that follow its mask `m`; v holds the masked bits."""
+    follow = F.create_map(*[F.lit(x) for m, n in masks.items() for x in (_signed(m), [_signed(k) for k in n])])
+    return rows.select(F.explode(F.element_at(follow, F.col("m"))).alias("m"), "fp").select("m", F.col("fp").bitwiseAND(F.col("m")).alias("v"), "fp")
+
+
+def dealt(fingerprints: DataFrame, most: int = 20_000) -> DataFrame:
+    """(m, v, fp): each fingerprint under three masks, or more where over `most` share what a mask leaves."""
+    masks, parts = {0: thirds()}, []
+    rows = _deal(fingerprints.select(F.lit(0).cast("long").alias("m"), "fp"), masks)
+    for _ in range(DEPTH - 1):
+        much = cut(rows.groupBy("m", "v").agg(F.count("*").alias("n")).where(F.col("n") > most).select("m", "v"))
+        if much.isEmpty():
+            break
+        parts.append(rows.join(much, ["m", "v"], "left_anti"))
+        masks = {k: thirds(k) for n in masks.values() for k in n}
+        rows = _deal(rows.join(much, ["m", "v"]), masks)
+    for p in parts:
+        rows = rows.union(p)
+    return rows.repartition(partitions(fingerprints.sparkSession), "m", "v")
+
+
+def near_duplicates(docs: DataFrame, limit: int = 2, most: int = 20_000) -> DataFrame:
+    """(doc_id, fp, component_id) of every row; `limit` is at most 2, what the thirds guarantee."""
     if not 0 <= limit <= 2:
-        raise ValueError("the keys hold for at most 2 bits")
+        raise ValueError("the thirds hold for at most 2 bits")
     found = cut(fingerprints(docs))
     firsts = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    keyed = firsts.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("v")) for i, m in enumerate(KEYS)])).alias("x"))
-    dealt = keyed.select(F.col("x.k").alias("k"), F.col("x.v").alias("v"), "fp").repartition(partitions(docs.sparkSession), "k", "v")
-    roots = components(dealt.select("k", "fp").mapInArrow(_linker(limit), "a long, b long"))
+    roots = components(dealt(firsts.select("fp"), most).select("m", "fp").mapInArrow(_linker(limit), "a long, b long"))
     labelled = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     named = labelled.join(least, "root").select(F.col("fp").alias("f"), "component_id")

@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force, round trips and held-out accuracy, with edge cases."""
 
 import random
+import re
 import time
 import zlib
 from itertools import combinations
@@ -326,7 +327,13 @@ def test_toxicity_where_labels_are_drawn_down(spark):
 
 
 def test_simhash_against_brute_force(spark, odd, empty):
-    from linewright.llm.simhash import fingerprint
+    import xxhash
+
+    def fingerprint(text):  # plainly, bit by bit
+        w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+        shingles = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        h = [xxhash.xxh64(s, seed=42).intdigest() for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
     def brute(ids, fps):
         root = list(range(len(fps)))
@@ -347,10 +354,19 @@ def test_simhash_against_brute_force(spark, odd, empty):
     docs = table(spark, SF, "documents")
     rows = [(x.doc_id, x.text) for x in docs.collect()]
     want = dict(zip([d for d, _ in rows], brute([d for d, _ in rows], [fingerprint(t) for _, t in rows])))
-    assert {x.doc_id: x.component_id for x in simhash.near_duplicates(docs).collect()} == want
+    for most in (20_000, 2):
+        assert {x.doc_id: x.component_id for x in simhash.near_duplicates(docs, most=most).collect()} == want
+    assert {x.doc_id: int(x.fingerprint, 16) for x in simhash.op9_simhash(spark, SF).collect()} == {d: fingerprint(t) for d, t in rows}
     r = np.random.default_rng(2)
     x = np.unique(np.concatenate([c ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, (120, 3)).astype(np.uint64), axis=1) for c in r.integers(0, 2**63, 5).astype(np.uint64)]))
+    counts, y = {}, r.integers(0, 2**63, 4000).astype(np.uint64)
+    y[:40] = y[40:80] ^ np.uint64(5)
+    assert len(simhash.index_links(y, 2, counts=counts)[0]) == 40
+    # the tree does the work: many levels, and of all pairs of its 250 leaves few are left to compare
+    assert len(counts) >= 8 and sum(d for _, d in counts.values()) > 4000
+    assert counts[0][0] - counts[0][1] < 0.35 * 250 * 251 / 2
     a, b = simhash.index_links(x, 2)
+    assert len(a) < len(x)
     got = brute(list(range(len(x))), [int(v) for v in x])
     root = list(range(len(x)))
     for i, j in zip(a.tolist(), b.tolist()):
@@ -360,6 +376,31 @@ def test_simhash_against_brute_force(spark, odd, empty):
     assert simhash.near_duplicates(odd).count() == 13 and simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_deals_every_link_to_some_task(spark):
+    r = random.Random(5)
+    centre = [r.getrandbits(64) for _ in range(40)]
+    pairs = [(c, c ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 2)))) for c in centre]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    variants = {centre[0] ^ r.getrandbits(11) << 20 for _ in range(900)}  # one template, many variants
+    fps = spark.createDataFrame([(signed(x),) for x in {x for p in pairs for x in p} | variants], "fp long")
+    for most in (20_000, 30):
+        rows = simhash.dealt(fps, most).collect()
+        met = {}
+        for x in rows:
+            met.setdefault(x.fp & (1 << 64) - 1, set()).add((x.m, x.v))
+        assert all(met[a] & met[b] for a, b in pairs)
+    sizes = {}
+    for x in rows:
+        sizes[x.m, x.v] = sizes.get((x.m, x.v), 0) + 1
+    assert all(n <= 30 or (m & (1 << 64) - 1).bit_count() >= 45 for (m, _), n in sizes.items())  # larger groups are dealt as fine as can be
+    for m in simhash.thirds():
+        x = np.array([a for p in pairs for a in p], np.uint64)
+        y = simhash.leading(x, m)
+        assert (np.bitwise_count(x[:-1] ^ x[1:]) == np.bitwise_count(y[:-1] ^ y[1:])).all()
+        top = np.uint64(64 - m.bit_count())
+        assert len({(int(a) & m) for a in x}) == len(set((y >> top).tolist()))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(60, 90)]
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}

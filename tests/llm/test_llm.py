@@ -416,6 +416,40 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.report(odd, bench.limit(0)).where("contaminated").count() == 0 and decontaminate.report(empty, bench).count() == 0
 
 
+def test_decontamination_in_parts_and_offsets(spark):
+    r = random.Random(11)
+    items = [(i, words(r, r.randint(1, 40))) for i in range(30)] + [(None, words(r, 12)), (3, words(r, 15)), (None, None)]
+    bench = spark.createDataFrame([(*x, "c") for x in items], "item_id long, text string, doc_id string")
+    rows = []
+    for i in range(60):
+        parts = [words(r, r.randint(0, 20)) for _ in range(3)]
+        parts.insert(1, (r.choice(items)[1] or "").upper().replace(" ", r.choice([" ", ", ", "\n--", "\x00"])))
+        rows.append((i % 50 if i else None, " é ".join(parts) + "ü", 1, "x"))
+    rows += [rows[5], (7, None, 1, "y"), (8, "", 1, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int, _row string")
+
+    def key(df):
+        return sorted((tuple(x) for x in df.collect()), key=str)
+
+    whole, parts = decontaminate.report(docs, bench), decontaminate.report(docs, bench, most=700)
+    assert len(decontaminate.scanners(bench, 10, 700)) > 3 and key(whole) == key(parts) and whole.where("contaminated").count() > 30
+    kept = [tuple(x) for x in decontaminate.clean(docs, bench, most=700).collect()]
+    assert sorted(kept, key=str) == key(decontaminate.clean(docs, bench)) and len(kept) == whole.where("not contaminated").count()
+    spans = key(decontaminate.hits(docs, bench))
+    assert spans == key(decontaminate.hits(docs, bench, most=700))
+    texts = {}
+    for x in rows:
+        texts.setdefault(x[0], set()).add(x[1])
+    grams = {tuple(w[i : i + 10]) for _, t in items for w in [decontaminate.normal(t)] for i in range(max(1, len(w) - 9)) if w}
+    for doc, start, end, passage, _ in spans:
+        assert any(t and t[start:end] == passage for t in texts[doc])
+        w = decontaminate.normal(passage)
+        assert tuple(w) in grams or any(tuple(w[i : i + 10]) in grams for i in range(len(w)))
+    hit = {x.doc_id: x.n_hit for x in whole.collect() if x.doc_id not in (None, 0, 5) and x.doc_id > 9}
+    for doc, n in hit.items():
+        assert n == sum(len(decontaminate.normal(p)) for d, _, _, p, _ in spans if d == doc)
+
+
 def test_decontamination_by_items_without_id(spark):
     bench = spark.createDataFrame([(None, "short item"), (1, "other words")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a short item"), (2, "short item, other words"), (3, "clean")], "doc_id long, text string")

@@ -191,6 +191,36 @@ def test_urls(spark):
     assert got[0].rule == "example.com/en/7" and (got[6].host, got[6].path, got[6].rule) == ("", "", None)
 
 
+def test_urls_with_many_rules(spark):
+    r = random.Random(12)
+    part = lambda: r.choice(["a", "b", "aa", "x1", "com", "net", "a\\E", "*", "é"])
+    rules = sorted({(r.choice(["allow", "block"]), ".".join(part() for _ in range(r.randint(1, 3))) + r.choice(["", "/"]) + "/".join(part() for _ in range(r.randint(0, 2))) + r.choice(["", "/"])) for _ in range(400)})
+    rules = [(k, x) for k, x in rules if x.strip("/")]
+    urls = ["http://" + ".".join(part() for _ in range(r.randint(1, 4))) + "/" + "/".join(part() for _ in range(r.randint(0, 3))) + r.choice(["", "/", "?q", "#z"]) for _ in range(300)] + [None, "x", "http://", "http://A.com"] * 2
+    urls += urls[:20]
+
+    def brute(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        bare = re.match(r"[^?#]*", rest)[0]
+        host, _, _ = bare.partition("/")
+        path = bare[len(host) :]
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        fits = [(len(x), x, k) for k, x in rules for h, slash, p in [x.partition("/")] if (host == h or host.endswith("." + h)) and (not slash or path.startswith("/" + p))]
+        return (host, path, *(max(fits)[1:] if fits else (None, "allow")))
+
+    pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
+    want = {i: brute(u) for i, u in enumerate(urls)}
+    listed = spark.createDataFrame(rules, "verdict string, rule string")
+    for given, inline in ((rules, 10_000), (rules, 20), (listed.union(listed.limit(9)), 20)):
+        got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in urlfilter.judge(pages, given, inline=inline).collect()}
+        assert got == want
+    assert urlfilter.judge(pages, []).where("verdict = 'allow' and rule is null").count() == len(urls)
+    assert urlfilter.judge(pages.limit(0)).count() == 0 and urlfilter.judge(pages.limit(0), rules, inline=3).count() == 0
+    for inline in (10_000, 20):
+        plan = urlfilter.judge(pages, rules, inline=inline)._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search("Python|Arrow|Pandas|Cartesian", plan)
+
+
 def brute_neighbours(rows, k=5):
     """{query id: [(answers of each of its rows)]} over rows (id, vector)."""
     out, m = {}, np.array([v for _, v in rows], float)

@@ -143,6 +143,38 @@ def test_sharding(spark, odd, empty):
         assert sharding.cuts(sizes, 3)[0] == best
 
 
+def test_sharding_cuts_between_single_groups(spark, monkeypatch):
+    r = random.Random(13)
+    texts = [words(r, r.randint(0, 30)) for _ in range(700)]
+    cases = [texts, texts + ["a hot text"] * 900, texts + ["x" * 90_000], ["same"] * 50, texts[:5], [None, "", None]]
+    for bits in (16, 3):  # also where ranges hold many groups and are split several times
+        monkeypatch.setattr(sharding, "BITS", bits)
+        monkeypatch.setattr(sharding, "STEP", 2 if bits == 3 else 8)
+        for case in cases:
+            df = spark.createDataFrame([(i % 40, t, 1, 2) for i, t in enumerate(case)], "doc_id long, text string, shard int, size int")
+            groups = {}
+            for x in df.select(F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect():
+                groups[x.h] = groups.get(x.h, 0) + x.n + 8
+            best = sharding.cuts([groups[h] for h in sorted(groups)], 24)[0]
+            got = sharding.shard(df).collect()
+            loads, slots, shards_of = {}, {}, {}
+            for x in got:
+                loads[x.shard] = loads.get(x.shard, 0) + x.size
+                slots.setdefault(x.shard, []).append(x.slot)
+                shards_of.setdefault(x.text_crc32, set()).add(x.shard)
+            assert len(got) == len(case) and max(loads.values()) == best and set(loads) <= set(range(24))
+            assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+            if None not in case:
+                assert all(len(s) == 1 for s in shards_of.values())
+
+
+def test_sharding_deals_a_hot_key(spark):
+    df = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("t").alias("text"))
+    got = sharding.shard(df, buckets=64)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.agg(F.count_distinct("slot")).first()[0] == 20_000 and not re.search("Python|Arrow", plan)
+
+
 def test_html(spark):
     page = "<html><head><title>x</title><script>if(a<b){}</script></head><body><nav><a href=1>Home</a></nav><article><h1>A &amp; B</h1><p>One\n two <b>three</b>.<p>Four &eacute; five six seven.</article><section class='comments'><p>Nice post, I say.</p></section><aside class=sidebar>Related things</aside><footer>&copy; me</footer></body></html>"
     df = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, None, ""), (None, None, "<<<"), (4, "u", "<article><p>" + "word " * 200_000)], "page_id long, url string, html string").withColumn("text", F.lit(1))

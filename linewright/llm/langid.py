@@ -4,11 +4,13 @@ Features are hashed byte trigrams of the lower-cased whole text. A one-versus-on
 decides between language families, then one-versus-one SVMs within the family vote.
 The score is the logistic of the summed signed margins of the winner, 0 to 1.
 
-Training rows: about `per_language` (500) documents of each language, chosen by the hash of
-doc_id among the rows `learn` allows; the bound is that parameter. Null text or text
+Training rows: at most `per_language` (500) distinct rows of each language, chosen by the
+hash of doc_id and text among the rows `learn` allows; the bound is that parameter, and
+what reaches the driver are their features, of fixed size. Null text or text
 without a letter: `und`, score 0. Null languages teach nothing. With no rows to learn
 from, every prediction is `und`. Repeated rows are predicted alike; an empty table gives
-no rows; extra columns are ignored.
+no rows; extra columns pass through, but for those named lang_pred and score, which
+`predict` replaces.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._util import table
 
@@ -98,33 +101,47 @@ def train(docs: DataFrame, learn, per_language: int = 500) -> Model:
     chance = F.lit(0.0)
     for lang, n in counts.items():
         chance = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(chance)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < chance * (1 << 30)).select("lang", "text")
+    h = F.xxhash64("doc_id", "text")
+    drawn = known.select("lang", "text", h.alias("h")).where(F.pmod("h", F.lit(1 << 30)) < chance * (1 << 30))
 
     def run(batches):
         for batch in batches:
             rows = [features(t).astype(np.float16).tobytes() for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(rows, pa.binary())], ["lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch["lang"], batch["h"], pa.array(rows, pa.binary())], ["lang", "h", "x"])
 
-    rows = sorted((r.lang, bytes(r.x)) for r in drawn.mapInArrow(run, "lang string, x binary").collect())
+    # repeated rows meet before the shuffle and count once; then the bound holds whatever was drawn
+    one = drawn.mapInArrow(run, "lang string, h long, x binary").groupBy("lang", "h").agg(F.min("x").alias("x"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    rows = sorted((r.lang, bytes(r.x)) for r in one.withColumn("r", rank).where(F.col("r") <= per_language).collect())
     x = np.array([np.frombuffer(v, np.float16) for _, v in rows], np.float32).reshape(len(rows), SIZE)
     return Model(x, [c for c, _ in rows])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs with lang_pred and score; the model has a fixed size per pair of languages."""
-    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    held, names = docs.sparkSession.sparkContext.broadcast(model), [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rows = docs.select(*[docs[c] for c in names])
 
     def run(batches):
         for batch in batches:
-            got = [held.value(t) for t in batch.column(at).to_pylist()]
+            got = [held.value(t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
                 [*batch.schema.names, "lang_pred", "score"])
 
-    from pyspark.sql import types as T
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+
+
+def recognised(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs with a language, in all their columns."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    rows = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([held.value(t)[0] != "und" for t in batch.column(at).to_pylist()], pa.bool_()))
 
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def held_out():

@@ -170,10 +170,18 @@ def packer(path: str, length: int, end_id: int):
     return run
 
 
-def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, vocabulary: str | None = None) -> DataFrame:
-    spark = docs.sparkSession
-    keyed = docs.select("doc_id", "text").mapInArrow(curve_keys, "doc_id long, text string, key long")
-    order = keyed.repartitionByRange(partitions(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id")
+def ranges(docs: DataFrame, most_bytes: int) -> int:
+    """Number of ranges: the session's, or as many as keep a range within `most_bytes` of input."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60  # Spark's guess where it knows no size
+    return max(partitions(docs.sparkSession), -(-size // most_bytes) if known else 1)
+
+
+def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, vocabulary: str | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+    """Rows of one place on the curve and one doc_id are told apart by their number, so that repeated rows don't meet in one task."""
+    rows = docs.select("doc_id", "text")
+    keyed = rows.mapInArrow(curve_keys, "doc_id long, text string, key long").withColumn("row", F.monotonically_increasing_id())
+    order = keyed.repartitionByRange(ranges(rows, most_bytes), "key", "doc_id", "row").sortWithinPartitions("key", "doc_id")
     return order.select("doc_id", "text").mapInArrow(packer(vocabulary or tokenizer_path("word_bpe_49k.json"), length, end_id), SCHEMA)
 
 

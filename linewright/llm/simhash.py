@@ -55,11 +55,12 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches):
     for batch in batches:
         found = np.array([fingerprint(t) for t in batch["text"].to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(found.view(np.int64))], ["doc_id", "th", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, th, fp): th is a hash of the text, by which rows of one doc_id differ."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(_fingerprints, "doc_id long, th long, fp long")
 
 
 def thirds(mask: int = 0) -> list[int]:
@@ -188,17 +189,41 @@ def dealt(fingerprints: DataFrame, most: int = 20_000) -> DataFrame:
     return rows.repartition(partitions(fingerprints.sparkSession), "m", "v")
 
 
-def near_duplicates(docs: DataFrame, limit: int = 2, most: int = 20_000) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; `limit` is at most 2, what the thirds guarantee."""
+def _named(found: DataFrame, limit: int, most: int) -> DataFrame:
+    """(f, head): for each fingerprint the first row of its component, as (no doc_id, doc_id, th)."""
     if not 0 <= limit <= 2:
         raise ValueError("the thirds hold for at most 2 bits")
-    found = cut(fingerprints(docs))
-    firsts = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    firsts = found.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("first"))
     roots = components(dealt(firsts.select("fp"), most).select("m", "fp").mapInArrow(_linker(limit), "a long, b long"))
     labelled = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = labelled.join(least, "root").select(F.col("fp").alias("f"), "component_id")
-    return found.join(named, found.fp == named.f).select("doc_id", "fp", "component_id")
+    least = labelled.groupBy("root").agg(F.min("first").alias("head"))
+    return labelled.join(least, "root").select(F.col("fp").alias("f"), "head")
+
+
+def near_duplicates(docs: DataFrame, limit: int = 2, most: int = 20_000) -> DataFrame:
+    """(doc_id, fp, component_id) of every row; `limit` is at most 2, what the thirds guarantee."""
+    found = cut(fingerprints(docs))
+    return found.join(_named(found, limit, most), F.col("fp") == F.col("f")).select("doc_id", "fp", F.col("head.doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, limit: int = 2, most: int = 20_000) -> DataFrame:
+    """One row of each component, in all its columns: of the smallest doc_id (null: after all others), then of the least text hash.
+
+    Of several rows alike in doc_id and text any one stays.
+    """
+    names = docs.columns
+    plain = [f"_c{i}" for i in range(len(names))]
+    doc, text = plain[names.index("doc_id")], plain[names.index("text")]
+    found = cut(fingerprints(docs))
+    row = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")
+    each = found.groupBy("doc_id", "th", "fp").agg(F.count("*").alias("rows")).join(_named(found, limit, most), F.col("fp") == F.col("f"))
+    # only rows that go, or stay once, are listed
+    listed = each.select(F.coalesce("doc_id", "th").alias("_k"), F.col("doc_id").isNull().alias("_n"), F.col("th").alias("_h"), (row == F.col("head")).alias("_stays"), "rows").where("not _stays or rows > 1").drop("rows")
+    rows = docs.toDF(*plain).withColumn("_th", F.xxhash64(text)).withColumn("_doc", F.coalesce(F.col(doc).cast("long"), "_th")).withColumn("_null", F.col(doc).isNull())
+    same = (F.col("_doc") == F.col("_k")) & (F.col("_null") == F.col("_n")) & (F.col("_th") == F.col("_h"))
+    alone = rows.join(listed, same, "left_anti").select(*plain)
+    once = rows.join(listed.where("_stays"), same, "left_semi").dropDuplicates(["_doc", "_null", "_th"]).select(*plain)
+    return alone.union(once).toDF(*names)
 
 
 def op9_simhash(spark, sf_dir):

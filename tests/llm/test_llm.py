@@ -520,13 +520,145 @@ def test_decontamination_by_items_without_id(spark):
     assert {x.doc_id for x in decontaminate.clean(docs, bench).collect()} == {3}
 
 
-def test_pipeline(spark):
-    got = corpus_pipeline.run(spark, SF).collect()
-    docs = {x.doc_id: x.text for x in table(spark, SF, "documents").collect()}
-    by = {x.doc_id for x in got}
-    assert by <= set(docs) and sum(x.length for x in got) > 0
-    rep = {x.doc_id for x in simhash.near_duplicates(table(spark, SF, "documents")).collect() if x.doc_id == x.component_id}
-    assert by <= rep
+def simhash_plainly(text):
+    import xxhash
+
+    w = text.encode().lower().split()
+    h = [xxhash.xxh64(b" ".join(w[i : i + 3]), seed=42).intdigest() for i in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def pipeline_plainly(rows, bench):
+    """{doc_id or None: texts} that reach packing."""
+    rows = [(d, t) for d, t in rows if t and any(c.isalpha() for c in t)]
+    fps, group = [simhash_plainly(t) for _, t in rows], list(range(len(rows)))
+    for i, j in combinations(range(len(rows)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= 2:
+            a, b = group[i], group[j]
+            group = [a if g == b else g for g in group]
+    heads = {}
+    for g, (d, t) in zip(group, rows):
+        heads.setdefault(g, []).append((d is None, d or 0, t))
+    rows = [(None if n else d, t) for n, d, t in (min(h) for h in heads.values())]
+    seen, cut = {}, {}
+    for d, t in sorted((d, t) for d, t in rows if d is not None):
+        w = t.encode().lower().split()
+        for i in range(len(w) - 49):
+            if seen.setdefault(tuple(w[i : i + 50]), (d, i)) != (d, i):
+                cut.setdefault(d, set()).update(range(i, i + 50))
+    grams = {tuple(w[i : i + 10]) for t in bench for w in [decontaminate.normal(t)] for i in range(max(1, len(w) - 9)) if w}
+    sizes = {len(g) for g in grams}
+    out = {}
+    for d, t in rows:
+        if d in cut:
+            t = "".join(m[0] for i, m in enumerate(re.finditer(r"\s*[^ \t\n\r\x0b\x0c]+\s*?(?:[ \t\n\r\x0b\x0c]+|$)", t)) if i not in cut[d])
+        w = decontaminate.normal(t)
+        if t.strip() and not any(tuple(w[i : i + n]) in grams for n in sizes for i in range(len(w) - n + 1)):
+            out.setdefault(d, set()).add(t)
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    r = random.Random(21)
+    passage, item = words(r, 70), words(r, 25)
+    rows = [(i, words(r, r.randint(5, 60))) for i in range(40)]
+    rows += [(50 + i, words(r, r.randint(0, 20)) + " " + passage + " " + words(r, 20)) for i in range(6)]
+    rows += [(60, "x " + item[20:90]), (61, words(r, 9) + " " + item.upper() + " " + words(r, 4)), (62, "123 456"), (63, None), (64, ""), (65, rows[3][1]), (66, rows[3][1]), (3, rows[3][1]), (3, rows[3][1])]
+    rows += [(None, words(r, 30)), (None, rows[5][1]), (67, passage), (68, passage + " " + passage)]
+    same = words(r, 33)
+    rows += [(None, same)] * 3
+    docs = spark.createDataFrame([(d, t, "en" if i % 2 else "de", "s", len(t or "")) for i, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int")
+    sf = str(tmp_path)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, "tiny item"), (None, words(r, 12))], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    want = pipeline_plainly(rows, [item, "tiny item"])
+    assert 40 < len(want) < len(rows) and 61 not in want and 65 not in want and 67 not in want
+    got = corpus_pipeline.run(spark, sf, f"{sf}/shared").collect()
+    assert len(list((tmp_path / "shared").glob("stage-*"))) == 1  # what earlier stages wrote is gone
+    tok = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    ids = lambda t: tok.encode(t, add_special_tokens=False).ids + [1]
+    for d, texts in want.items():
+        pieces = sorted((x.start, x.length, x.ids_crc32, x.doc_tokens) for x in got if x.doc_id == d)
+        if d is None:
+            assert sum(n for _, n, _, _ in pieces) == sum(len(ids(t)) for t in texts)
+        else:
+            (t,) = texts
+            w = ids(t)
+            assert [p[2] for p in pieces] == [zlib.crc32(np.array(w[a : a + n], "<u4").tobytes()) for a, n, *_ in pieces] and sum(n for _, n, *_ in pieces) == len(w)
+    assert {x.doc_id for x in got} == set(want)
+
+
+def test_pipeline_edges(spark, odd, empty):
+    """Nulls, empties, ties, repeats, a long text and clashing names in every stage."""
+    sf = "/root/testdata/sf0.001"
+    clash = odd.withColumns({c: F.lit(i) for i, c in enumerate(("score", "lang_pred", "_d", "_spans", "_th", "_doc", "_c0", "n", "fp", "m", "row"))})
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (odd, clash):
+            out = stage(spark, df, sf)
+            rows = out.collect()
+            assert rows and stage(spark, df.limit(0), sf).count() == 0
+            if name != "packed":
+                assert out.columns == df.columns and {x.key for x in rows} <= {"x", None}
+    kept = corpus_pipeline.near_duplicates(spark, odd.union(odd).union(odd), sf).collect()
+    once = corpus_pipeline.near_duplicates(spark, odd, sf).collect()
+    assert sorted(map(str, ((x.doc_id, x.text) for x in kept))) == sorted(map(str, ((x.doc_id, x.text) for x in once)))
+    assert {x.doc_id for x in corpus_pipeline.language(spark, odd, sf).collect()} >= {3, 4, 5, None}
+
+
+def test_checkpoint_folder_is_not_local_to_a_machine(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from linewright.llm import _util
+
+    none = SimpleNamespace(isEmpty=lambda: True)
+    for master, fails in (("spark://host:7077", True), ("local-cluster[2,1,1024]", True), ("yarn", True)):
+        sc = SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+        with pytest.raises(ValueError):
+            _util.cut(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d))))
+
+
+def test_packing_deals_a_hot_key(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text")).repartition(4)
+    parts = {x.sequence_id >> 36 for x in packing.pack(df).collect()}
+    assert len(parts) >= 3
+    assert packing.ranges(table(spark, SF, "documents"), 1 << 10) > 100
+
+
+def test_langid_against_brute_force(spark):
+    docs = table(spark, SF, "documents")
+    model = langid.train(docs, F.lit(True), 60)
+
+    def plainly(text):
+        if not text or not any(c.isalpha() for c in text):
+            return "und"
+        raw = list(text.lower().encode())
+        raw += [32, 32, 32] if len(raw) < 3 else []
+        count = {}
+        for a, b, c in zip(raw, raw[1:], raw[2:]):
+            h = ((a * 40503 + b * 30011 + c * 977) * 2654435761 % 2**32) >> 20
+            count[h] = count.get(h, 0) + 1
+        size = sum(count.values()) ** 0.5
+        margin = {p: sum(model.w[i][h] * n**0.5 for h, n in count.items()) / size + model.b[i] for i, p in enumerate(model.pairs)}
+        level, names = "", list(model.members)
+        for _ in range(2):
+            won = {x: sum((m >= 0) == (a == x) for (f, a, b), m in margin.items() if f == level and x in (a, b)) for x in names}
+            total = {x: sum(m if a == x else -m for (f, a, b), m in margin.items() if f == level and x in (a, b)) for x in names}
+            level = max(names, key=lambda x: (won[x], total[x]))
+            names = model.members.get(level, [])
+            if level not in model.members:
+                break
+        return level
+
+    odd_texts = [None, "", "1 2", "a", "Ab", "é", "x" * 5000]
+    rows = docs.select("doc_id", "text").collect() + [type("R", (), {"doc_id": -i - 1, "text": t}) for i, t in enumerate(odd_texts)]
+    df = spark.createDataFrame([(x.doc_id, x.text, 7, "q") for x in rows], "doc_id long, text string, score int, lang_pred string")
+    got = {x.doc_id: x.lang_pred for x in langid.predict(df, model).collect()}
+    want = {x.doc_id: plainly(x.text) for x in rows}
+    assert sum(got[d] != want[d] for d in want) <= 1  # a margin of zero may fall either way by rounding
+    hot = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text of all").alias("text"), F.lit("en").alias("lang"))
+    assert langid.train(hot.union(docs.select("doc_id", "text", "lang")), F.lit(True), 20).members
 
 
 def test_letters():

@@ -22,13 +22,28 @@ RULES: dict[str, Callable] = {}
 
 
 class Context:
-    """What variables mean; `functions` are user templates."""
+    """What variables mean; `functions` are user templates.
 
-    def __init__(self, variable: Callable[[str], Column], functions: dict[str, Template] | None = None, load: bool = True):
-        self.variable, self.functions, self.load = variable, functions or {}, load
+    `stage`, where given, collects columns that several templates share, such as a parsed time;
+    `staged` adds them to a table, where each is computed once a row.
+    """
+
+    def __init__(self, variable: Callable[[str], Column], functions: dict[str, Template] | None = None, load: bool = True, stage: dict | None = None, scope: tuple = ()):
+        self.variable, self.functions, self.load, self.stage, self.scope = variable, functions or {}, load, stage, scope
 
     def inner(self, **names) -> Context:
-        return Context(lambda n: names.get(f"v{n}", None) if f"v{n}" in names else self.variable(n), self.functions, self.load)
+        return Context(lambda n: names.get(f"v{n}", None) if f"v{n}" in names else self.variable(n), self.functions, self.load, None, self.scope)
+
+    def once(self, key, make: Callable[[], Column]) -> Column:
+        """make(), as a column of its own where the same key is asked for again."""
+        if self.stage is None:
+            return make()
+        if key not in self.stage:
+            self.stage[key] = (f"_s{len(self.stage)}", make())
+        return F.col(self.stage[key][0])
+
+    def staged(self, rows):
+        return rows.select("*", *[c.alias(n) for n, c in self.stage.values()]) if self.stage else rows
 
 
 def rule(*names, low=None, high=None):
@@ -82,18 +97,27 @@ def const_int(t: Template) -> int:
 # kinds -------------------------------------------------------------------------------
 
 INT, NUM = r"^[+-]?[0-9]+\z", r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+_NUMBER = r"(?i)^(?:[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|[+-]?inf(?:inity)?|nan)\z"
 
 
 def as_int(c: Column) -> Column:
-    return F.when(c.rlike(INT), c.try_cast("bigint"))
+    """A BIGINT, null for other text; c is named once, so that it is computed once."""
+    known = vars(c).get("_integer")
+    return known if known is not None else F.regexp_extract(c, INT, 0).try_cast("bigint")
 
 
 def as_num(c: Column) -> Column:
     known = vars(c).get("_number")  # text that num_text made: the number itself, without reading it back
-    if known is not None:
-        return known
-    return (F.when(c.rlike(NUM), c.try_cast("double")).when(c.rlike(r"(?i)^\+?inf(inity)?\z"), F.lit(float("inf")))
-            .when(c.rlike(r"(?i)^-inf(inity)?\z"), F.lit(float("-inf"))).when(c.rlike(r"(?i)^nan\z"), F.lit(float("nan"))))
+    if known is None and "_integer" in vars(c):
+        known = vars(c)["_integer"].cast("double")
+    return known if known is not None else F.regexp_extract(c, _NUMBER, 0).try_cast("double")
+
+
+def int_text(v: Column) -> Column:
+    """The text of a BIGINT, or BAD; further functions take the number without reading it back."""
+    out = text(v)
+    out._integer = v
+    return out
 
 
 def text(c: Column) -> Column:
@@ -105,19 +129,23 @@ def bound(c: Column, use) -> Column:
     return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
+def bound2(a: Column, b: Column, use) -> Column:
+    """use(a, b) with both evaluated once a row."""
+    return F.get(F.zip_with(F.array(a), F.array(b), use), F.lit(0))
+
+
 def num_text(d: Column) -> Column:
     """Shortest digits, never an exponent."""
-    out = bound(d, _num_text)
+    out = F.coalesce(bound(d.cast("string"), _digits), F.lit(BAD))
     out._number = d
     return out
 
 
-def _num_text(d: Column) -> Column:
-    s = d.cast("string")
-    plain = F.coalesce(F.regexp_replace(s.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", ""), s)
-    whole = F.when(F.abs(d) >= 1e20, F.format_string("%.0f", d)).otherwise(plain)
-    rare = F.when(s == "Infinity", "+Inf").when(s == "-Infinity", "-Inf").when(plain == "", "0").otherwise(whole)
-    return F.coalesce(F.when(s.rlike("[EI]"), rare).otherwise(F.regexp_replace(s, r"\.0$", "")), F.lit(BAD))
+def _digits(s: Column) -> Column:
+    """Spark's text of a double without `.0` and exponents."""
+    plain = F.regexp_replace(s.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    exponent = bound(plain, lambda p: F.when(F.abs(s.cast("double")) >= 1e20, F.format_string("%.0f", s.cast("double"))).when(p == "", "0").otherwise(F.coalesce(p, s)))
+    return F.when(s.endswith(".0"), F.left(s, F.length(s) - 2)).when(s == "Infinity", "+Inf").when(s == "-Infinity", "-Inf").when(F.contains(s, F.lit("E")), exponent).otherwise(s)
 
 
 def truthy(c: Column) -> Column:
@@ -230,7 +258,7 @@ _INTS["modi"] = lambda a, b: _known(a, b, F.when(b == 0, F.lit(0).cast("bigint")
 
 @rule(*_INTS, low=2)
 def _ints(ctx, name, args):
-    return text(functools.reduce(_INTS[name], [as_int(a) for a in args_of(ctx, args)]))
+    return int_text(functools.reduce(lambda x, y: bound2(x, y, _INTS[name]) if name in ("divi", "modi") else _INTS[name](x, y), [as_int(a) for a in args_of(ctx, args)]))
 
 
 def _float_divide(a, b):

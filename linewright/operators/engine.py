@@ -15,48 +15,74 @@ from .sorting import sort_columns
 class Lines:
     """A column of lines with a matcher; `src` and `line` columns, where present, give {src} and {line}."""
 
-    def __init__(self, df: DataFrame, column: str = "value", matcher: M.Matcher | None = None, functions=None, tests=()):
-        self.df, self.column, self.matcher, self.functions, self.tests = df, column, matcher or M.always(), functions or {}, tuple(tests)
+    def __init__(self, df: DataFrame, column: str = "value", matcher: M.Matcher | None = None, functions=None, tests=(), load: bool = True):
+        self.df, self.column, self.matcher, self.functions, self.tests, self.load = df, column, matcher, functions or {}, tuple(tests), load
 
     def _with(self, **k) -> Lines:
-        have = {"df": self.df, "column": self.column, "matcher": self.matcher, "functions": self.functions, "tests": self.tests}
+        have = {"df": self.df, "column": self.column, "matcher": self.matcher, "functions": self.functions, "tests": self.tests, "load": self.load}
         return Lines(**(have | k))
 
-    def match(self, pattern: str, ignore_case: bool = False) -> Lines:
-        return self._with(matcher=M.regex(pattern, ignore_case))
+    def _matching(self, matcher: M.Matcher) -> Lines:
+        if self.matcher is not None:
+            raise M.MatchError("one matcher only")
+        return self._with(matcher=matcher)
+
+    def match(self, pattern: str, ignore_case: bool = False, backtracking: bool = False, longest: bool = False) -> Lines:
+        return self._matching(M.longest(pattern, ignore_case) if longest else M.regex(pattern, ignore_case, backtracking))
 
     def dissect(self, pattern: str, ignore_case: bool = False) -> Lines:
-        return self._with(matcher=M.dissect(pattern, ignore_case))
+        return self._matching(M.dissect(pattern, ignore_case))
 
     def ignore(self, *templates: str) -> Lines:
         return self._with(tests=[*self.tests, *templates])
 
     def variable(self, name: str) -> Column:
-        line, m = F.col(self.column), self.matcher
+        """A variable over the columns of `matched`: the groups lie in `_m`."""
+        m = self.matcher or M.always()
+        group = lambda i: F.get("_m", F.lit(i)) if i <= m.count else F.lit("")
         if name.isdigit():
-            return m.group(line, int(name))
+            return group(int(name))
         if name == "src":
             return F.col("src") if "src" in self.df.columns else F.lit("")
         if name == "line":
             return F.col("line").cast("string") if "line" in self.df.columns else F.lit("0")
         if name == "@":
-            return F.concat_ws(NUL, *[m.group(line, i) for i in range(1, m.count + 1)]) if m.count else F.lit("")
+            return F.array_join(F.slice("_m", 2, m.count), NUL) if m.count else F.lit("")
         if name in (".", "#", ".#", "#."):
-            fields = [(n, m.group(line, i)) for n, i in m.names.items()] if "." in name else []
+            fields = [(n, group(i)) for n, i in m.names.items()] if "." in name else []
             if "#" in name:
-                fields += [(str(i), m.group(line, i)) for i in range(m.count + 1)]
+                fields += [(str(i), group(i)) for i in range(m.count + 1)]
             literal = lambda c: F.when(c.rlike(r"^-?[0-9]+(\.[0-9]+)?\z") | c.isin("true", "false"), c).otherwise(F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c, r'([\\"])', r"\\$1"), "\n", r"\\n"), F.lit('"')))
             return F.concat(F.lit("{"), F.concat_ws(", ", *[F.when(c != "", F.concat(F.lit(f'"{n}": '), literal(c))) for n, c in fields]), F.lit("}"))
         if name in m.names:
-            return m.group(line, m.names[name])
+            return group(m.names[name])
         return F.lit("<NAME>")
 
+    def context(self) -> Context:
+        return Context(self.variable, self.functions, self.load, {})
+
     def compile(self, template: str) -> Column:
-        return lower_template(parse(template), Context(self.variable, self.functions))
+        return lower_template(parse(template), Context(self.variable, self.functions, self.load))
+
+    def evaluate(self, rows: DataFrame, templates: dict[str, str], keep: tuple = ()) -> DataFrame:
+        """(*keep, a column per template) over rows of `matched`; what templates share is computed once a row."""
+        ctx = self.context()
+        out = [lower_template(parse(t), ctx).alias(n) for n, t in templates.items()]
+        return ctx.staged(rows).select(*keep, *out)
+
+    def _parts(self) -> Column:
+        return (self.matcher or M.always()).parts(F.coalesce(F.col(self.column), F.lit("")))
 
     def matched(self) -> DataFrame:
-        """Rows that match and that no ignore template accepts."""
-        rows = self.df.where(self.matcher.test(F.col(self.column)))
+        """Rows that match and that no ignore template accepts, with their groups in `_m`.
+
+        The groups are found once a row: a generator gives one row for a match and none otherwise, and
+        nothing is pushed below it.
+        """
+        if self.matcher is None:
+            rows = self.df.withColumn("_m", self._parts())
+        else:
+            rows = self.df.select("*", F.explode(F.filter(F.array(self._parts()), lambda m: F.size(m) > 1)).alias("_m"))
         for t in self.tests:
             rows = rows.where(~truthy(self.compile(t)))
         return rows
@@ -64,32 +90,47 @@ class Lines:
     def extract(self, template: str | list[str] = "{0}", keep: tuple = (), separator: str = NUL) -> DataFrame:
         """(*keep, key); rows with an empty key go."""
         many = [template] if isinstance(template, str) else template
-        parts = [self.compile(t) for t in many]
+        ctx = self.context()
+        parts = [lower_template(parse(t), ctx) for t in many]
         key = parts[0] if len(parts) == 1 else F.concat_ws(separator, *parts)
-        return self.matched().select(*keep, key.alias("key")).where("key <> ''")
+        # a generator again: a filter would be pushed down and the key be computed twice
+        return ctx.staged(self.matched()).select(*keep, F.explode(F.filter(F.array(key), lambda k: k != "")).alias("key"))
 
     def filter(self, template: str | list[str] = "{0}", keep: tuple = (), limit: int | None = None) -> DataFrame:
         out = self.extract(template, keep, "\t")
         return out if limit is None else out.limit(limit)
 
-    def metrics(self) -> DataFrame:
-        """One row: read, matched, ignored."""
-        line = F.col(self.column)
-        hit = self.matcher.test(line)
+    def metrics(self, template: str | list[str] | None = None) -> DataFrame:
+        """One row: read, matched, ignored; with a template, lines with an empty key count as ignored."""
+        rows = self.df.select("*", self._parts().alias("_m"))
         dropped = F.lit(False)
         for t in self.tests:
             dropped = dropped | truthy(self.compile(t))
-        return self.df.agg(F.count("*").alias("read"), F.count_if(hit & ~dropped).alias("matched"), F.count_if(hit & dropped).alias("ignored"))
-
-    def _parts(self, template, names: list[str]) -> DataFrame:
-        """Key parts as columns and `inc`; a missing increment is 1, a bad one drops the row."""
-        rows = self.extract(template).select(F.split("key", NUL, -1).alias("p"))
+        if template is not None:
+            many = [template] if isinstance(template, str) else template
+            dropped = dropped | (F.concat(*[self.compile(t) for t in many]) == "") if len(many) == 1 else dropped
+        hit = F.size("_m") > 1
+        flags = rows.select(F.when(hit, dropped).alias("dropped"))
+        return flags.agg(F.count("*").alias("read"), F.count_if(~F.col("dropped")).alias("matched"), F.count_if("dropped").alias("ignored"))
+
+    def _counted(self, template, names: list[str], keep: tuple = ()) -> DataFrame:
+        """Key parts as columns and `inc`; a missing increment is 1, a bad one is null."""
+        rows = self.extract(template, keep).select(*keep, F.split("key", NUL, -1).alias("p"))
         n = len(names)
         inc = F.when(F.size("p") > n, as_int(F.get("p", F.lit(n)))).otherwise(F.lit(1).cast("bigint"))
-        return rows.select(*[F.coalesce(F.get("p", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(names)], inc.alias("inc")).where("inc is not null")
+        return rows.select(*keep, *[F.coalesce(F.get("p", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(names)], inc.alias("inc"))
+
+    def _increments(self, template, names: list[str]) -> DataFrame:
+        """Summed increments of each key; rows with a bad one go."""
+        sums = self._counted(template, names).groupBy(*names).agg(F.sum("inc").alias("count"))
+        return sums.where("count is not null")
+
+    def parse_errors(self, template, n: int) -> DataFrame:
+        """One row: how many extracted rows have a bad increment after `n` key parts."""
+        return self._counted(template, [f"k{i}" for i in range(n)]).agg(F.count_if(F.col("inc").isNull()).alias("errors"))
 
     def histogram(self, template="{0}", n: int | None = None, at_least: int | None = None, sort: str = "value", percent: bool = False) -> DataFrame:
-        out = self._parts(template, ["key"]).groupBy("key").agg(F.sum("inc").alias("count"))
+        out = self._increments(template, ["key"])
         if percent:
             total = out.agg(F.sum("count").alias("total"))  # one row
             out = out.crossJoin(F.broadcast(total)).select("key", "count", (F.col("count") / F.col("total")).alias("share"))
@@ -98,18 +139,16 @@ class Lines:
         return out if at_least is None else out.where(F.col("count") >= at_least)
 
     def bars(self, template) -> DataFrame:
-        return self._parts(template, ["key", "subkey"]).groupBy("key", "subkey").agg(F.sum("inc").alias("count"))
+        return self._increments(template, ["key", "subkey"])
 
     def table(self, template, delimiter: str = NUL) -> DataFrame:
         """Long form (col, row, count)."""
-        lines = self if delimiter == NUL else self._with()
         if delimiter == NUL:
-            rows = lines._parts(template, ["col", "row"])
-        else:
-            p = F.split("key", "\\Q" + delimiter + "\\E", -1)
-            inc = F.when(F.size(p) > 2, as_int(F.get(p, F.lit(2)))).otherwise(F.lit(1).cast("bigint"))
-            rows = self.extract(template).select(F.get(p, F.lit(0)).alias("col"), F.coalesce(F.get(p, F.lit(1)), F.lit("")).alias("row"), inc.alias("inc")).where("inc is not null")
-        return rows.groupBy("col", "row").agg(F.sum("inc").alias("count"))
+            return self._increments(template, ["col", "row"])
+        parts = self.extract(template).select(F.split("key", "\\Q" + delimiter + "\\E", -1).alias("p"))
+        inc = F.when(F.size("p") > 2, as_int(F.get("p", F.lit(2)))).otherwise(F.lit(1).cast("bigint"))
+        rows = parts.select(F.get("p", F.lit(0)).alias("col"), F.coalesce(F.get("p", F.lit(1)), F.lit("")).alias("row"), inc.alias("inc"))
+        return rows.groupBy("col", "row").agg(F.sum("inc").alias("count")).where("count is not null")
 
     def analyze(self, template="{0}", quantiles=(90, 99, 99.9), reverse: bool = False) -> DataFrame:
         """One row; the order statistics are picked by distributed rank, never from one collected list."""

@@ -37,7 +37,7 @@ def each(name, table, key, templates, sql, columns):
         df = spark.read.parquet(f"{sf}/{table}.parquet").select(key, *[F.expr(c).alias(f"c{i}") for i, c in enumerate(columns, 1)])
         lines = Lines(df, "c1")
         lines.variable = lambda n: F.col(f"c{n}") if n.isdigit() and 0 < int(n) <= len(columns) else F.col("c1") if n == "0" else F.lit("<NAME>")
-        return df.select(key, *[lines.compile(t).alias(a) for a, t in templates.items()])
+        return lines.evaluate(df, templates, (key,))
 
     query(name, sql)(run)
 
@@ -97,7 +97,7 @@ def _lookup(spark, sf):
     content = "\n".join(f"{r.n_nationkey} {r.n_name}" for r in small)
     df = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", F.col("c_nationkey").cast("string").alias("value"))
     lines = Lines(df)
-    return df.select("c_custkey", lines.compile('{lookup {0} "%s"}' % content).alias("name"), lines.compile('{haskey {0} "%s"}' % content).alias("has"))
+    return lines.evaluate(lines.matched(), {"name": '{lookup {0} "%s"}' % content, "has": '{haskey {0} "%s"}' % content}, ("c_custkey",))
 
 
 # aggregates ----------------------------------------------------------------------------

@@ -327,7 +327,7 @@ def _expbucket(ctx, _, args):
 def _clamp(ctx, _, args):
     a = args_of(ctx, args[:1])[0]
     v, lo, hi = as_int(a), const_int(args[1]), const_int(args[2])
-    return F.when(v.isNull(), BAD).when(v < lo, "min").when(v > hi, "max").otherwise(a)
+    return bound(v, lambda n: F.when(n.isNull(), BAD).when(n < lo, "min").when(n > hi, "max").otherwise(a))
 
 
 @rule("!", low=1)
@@ -376,7 +376,11 @@ def _index(ctx, name, args):
 
 @rule("replace", low=3, high=3)
 def _replace(ctx, _, args):
-    return F.replace(*args_of(ctx, args))
+    whole, old, new = args_of(ctx, args)
+    between = F.concat(new, F.regexp_replace(whole, "(?s)(.)", F.concat(F.lit("$1"), F.regexp_replace(new, r"([\\\\$])", r"\\\\$1"))))
+    if args[1].constant == "":  # before each character and at the end
+        return between
+    return F.replace(whole, old, new) if args[1].constant else F.when(old == "", between).otherwise(F.replace(whole, old, new))
 
 
 @rule("pick", low=3, high=3)
@@ -396,11 +400,46 @@ def _select(ctx, _, args):
 
 @rule("format", low=1)
 def _format(ctx, _, args):
+    rest, out, at, used = args_of(ctx, args[1:]), [], 0, 0
     pattern = const(args[0])
-    if re.search(r"%[^s%\-0-9q v]", pattern):
-        raise TemplateError("format", pattern)
-    rest = args_of(ctx, args[1:])
-    return F.format_string(pattern.replace("%v", "%s"), *rest)
+    for m in re.finditer(r"%([-+# 0]*)(\d*)(?:\.(\d+))?([a-zA-Z%])?", pattern):
+        out.append(F.lit(pattern[at : m.start()]))
+        at = m.end()
+        flags, width, places, verb = m.groups()
+        if verb == "%":
+            out.append(F.lit("%"))
+            continue
+        if verb is None:
+            out.append(F.lit("%!(NOVERB)"))
+            continue
+        if used >= len(rest):
+            out.append(F.lit(f"%!{verb}(MISSING)"))
+            continue
+        a, used = rest[used], used + 1
+        if verb in "sv":
+            v = F.left(a, F.lit(int(places))) if places else a
+        elif verb == "q":
+            v = _quoted(a)
+        elif verb in "xX":
+            v = (F.hex if verb == "X" else lambda c: F.lower(F.hex(c)))(a.cast("binary"))
+        else:  # every value is a text
+            v = F.concat(F.lit(f"%!{verb}(string="), a, F.lit(")"))
+        if width:
+            n = F.greatest(F.lit(int(width)), F.length(v))
+            v = F.rpad(v, n, " ") if "-" in flags else F.lpad(v, n, "0" if "0" in flags else " ")
+        out.append(v)
+    out.append(F.lit(pattern[at:]))
+    if used < len(rest):
+        extra = [F.concat(F.lit("string="), a) for a in rest[used:]]
+        out += [F.lit("%!(EXTRA "), F.concat_ws(", ", *extra), F.lit(")")]
+    return F.concat(*out)
+
+
+def _quoted(a: Column) -> Column:
+    """In double quotes, with backslashes where a source text needs them."""
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\0", "\\x00")):
+        a = F.replace(a, F.lit(plain), F.lit(escaped))
+    return F.concat(F.lit('"'), a, F.lit('"'))
 
 
 @rule("repeat", low=2, high=2)
@@ -428,8 +467,20 @@ def _path(ctx, name, args):
         return F.regexp_extract(p, r"(\.[^./]*)$", 1)
     if name == "basename":
         return F.when(p == "", ".").when(bare == "", "/").otherwise(F.regexp_extract(bare, "([^/]*)$", 1))
-    folder = F.regexp_replace(F.regexp_replace(F.regexp_extract(p, "^(.*)/[^/]*$", 1), "/+", "/"), "(?<=.)/$", "")
-    return F.when(~p.contains("/"), ".").when(folder == "", "/").otherwise(folder)
+    return bound(F.regexp_extract(p, "(?s)^(.*/)[^/]*$", 1), _clean)
+
+
+def _clean(p: Column) -> Column:
+    """A path without `.`, inner `..` and repeated slashes; nothing is `.`."""
+    rooted = p.startswith("/")
+
+    def step(done, part):
+        last = F.element_at(done, -1)
+        up = F.when((F.size(done) > 0) & (F.when(F.size(done) > 0, last) != ".."), F.slice(done, F.lit(1), F.size(done) - 1)).when(rooted, done).otherwise(F.array_append(done, part))
+        return F.when(part.isin("", "."), done).when(part == "..", up).otherwise(F.array_append(done, part))
+
+    parts = F.array_join(F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step), "/")
+    return bound(parts, lambda c: F.when(rooted, F.concat(F.lit("/"), c)).when(c == "", ".").otherwise(c))
 
 
 #: Terminal colours by name.
@@ -488,7 +539,9 @@ def _sized(ctx, name, args):
 def _percent(ctx, _, args):
     v, *ends = [as_num(a) for a in args_of(ctx, [args[0], *args[2:]])]
     lo, hi = (F.lit(0.0), F.lit(1.0)) if not ends else (F.lit(0.0), ends[0]) if len(ends) == 1 else ends
-    return text(F.concat(fixed(_float_divide((v - lo) * 100, hi - lo), const_int(args[1]) if len(args) > 1 else 1), F.lit("%")))
+    places = const_int(args[1]) if len(args) > 1 else 1
+    shown = lambda x: F.when(F.isnan(x), "NaN").when(x == float("inf"), "+Inf").when(x == float("-inf"), "-Inf").otherwise(fixed(x, places))
+    return text(F.concat(bound(_float_divide((v - lo) * 100, hi - lo), shown), F.lit("%")))
 
 
 # arrays ------------------------------------------------------------------------------
@@ -572,18 +625,31 @@ def _arange(ctx, _, args):
 
 
 @rule("@for", low=3, high=3)
-def _afor(ctx, _, args, bound: int = 1000):
-    """Unfolds natively up to `bound` values; beyond, `<INF>`."""
-    start = args_of(ctx, args[:1])[0]
-    zero = F.struct(start.alias("v"), F.array().cast("array<string>").alias("a"), F.lit(True).alias("on"))
-
-    def step(s, i):
-        on = s["on"] & truthy(lower_template(args[1], ctx.inner(v0=s["v"], v1=i.cast("string"))))
-        nxt = lower_template(args[2], ctx.inner(v0=s["v"], v1=i.cast("string")))
-        return F.struct(F.when(on, nxt).otherwise(s["v"]).alias("v"), F.when(on, F.array_append(s["a"], s["v"])).otherwise(s["a"]).alias("a"), on.alias("on"))
+def _afor(ctx, _, args, most: int = 1_000_000):
+    """Values while the test holds; `<INF>` where it still holds after a million, as is defined.
 
-    out = F.aggregate(F.sequence(F.lit(0), F.lit(bound)), zero, step)
-    return F.when(out["on"], "<INF>").otherwise(joined(out["a"]))
+    Folds over blocks of growing size, so that a short loop stays short: a block is only made while the loop runs.
+    """
+    start = args_of(ctx, args[:1])[0]
+    state = F.struct(start.alias("v"), F.array().cast("array<string>").alias("a"), F.lit(True).alias("on"), F.lit(0).alias("n"))
+
+    def step(s, _i):
+        i = s["n"].cast("string")
+        on = s["on"] & truthy(lower_template(args[1], ctx.inner(v0=s["v"], v1=i)))
+        nxt = lower_template(args[2], ctx.inner(v0=s["v"], v1=i))
+        return F.struct(F.when(on, nxt).otherwise(s["v"]).alias("v"), F.when(on, F.array_append(s["a"], s["v"])).otherwise(s["a"]).alias("a"), on.alias("on"), (s["n"] + F.when(on, 1).otherwise(0)).alias("n"))
+
+    def block(s, size):
+        steps = F.when(s["on"], F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+        part = F.aggregate(steps, F.struct(s["v"].alias("v"), F.array().cast("array<string>").alias("a"), s["on"].alias("on"), s["n"].alias("n")), step)
+        return F.struct(part["v"].alias("v"), F.concat(s["a"], part["a"]).alias("a"), part["on"].alias("on"), part["n"].alias("n"))
+
+    sizes, left = [16, 64, 256], most
+    sizes += [1024] * ((most - sum(sizes)) // 1024 + 1)
+    out = F.aggregate(F.array(*[F.lit(n) for n in sizes[:3]]), state, block)
+    rest = F.when(out["on"], F.array_repeat(F.lit(1024), len(sizes) - 3)).otherwise(F.array().cast("array<int>"))
+    out = F.aggregate(rest, out, block)
+    return bound(out, lambda o: F.when(o["on"] & (o["n"] >= left), "<INF>").otherwise(joined(o["a"])))
 
 
 # lookups, json -----------------------------------------------------------------------

@@ -117,14 +117,19 @@ def parse(text: str) -> Template:
     return Template(tuple(parts))
 
 
+#: Functions whose arguments from this place on have variables {0}, {1}, ... of their own.
+SCOPED = {"@map": 1, "@filter": 1, "@reduce": 1, "@for": 1}
+
+
 def substitute(t: Template, args: tuple) -> Template:
-    """The template with {0}, {1}, ... replaced by args: how user functions expand."""
+    """The template with {0}, {1}, ... replaced by args: how user functions expand. Sub-expressions with variables of their own keep them."""
     parts: list = []
     for p in t.parts:
         if isinstance(p, Var) and p.name.isdigit():
             parts += args[int(p.name)].parts if int(p.name) < len(args) else ()
         elif isinstance(p, Call):
-            parts.append(Call(p.name, tuple(substitute(a, args) for a in p.args)))
+            own = SCOPED.get(p.name, len(p.args))
+            parts.append(Call(p.name, tuple(substitute(a, args) if i < own else a for i, a in enumerate(p.args))))
         else:
             parts.append(p)
     return Template(tuple(parts))

@@ -1,13 +1,21 @@
-"""Time functions. A layout in the reference-date style becomes a Java pattern on the driver."""
+"""Time functions. A layout in the reference-date style becomes a regular expression on the driver.
+
+A text is read by one expression that puts its pieces in a fixed order; numbers are made of the
+pieces, so a text that doesn't fit is a null and never an exception. Nothing depends on the
+session's time zone.
+"""
 
 from __future__ import annotations
 
 import re
+import time
+from datetime import datetime, timezone
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .library import BAD, PARSE, args_of, as_int, bound, const, rule, text
+from .library import BAD, PARSE, args_of, as_int, bound, const, rule
 from .template import TemplateError
 
 #: Named layouts.
@@ -18,104 +26,269 @@ LAYOUTS = {
     "MONTH": "01", "MONTHNAME": "January", "MNTH": "Jan", "DAY": "02", "YEAR": "2006", "HOUR": "15", "MINUTE": "04", "SECOND": "05",
     "TIMEZONE": "MST", "NTIMEZONE": "-0700", "NTZ": "-0700", "WEEKDAY": "Monday", "WDAY": "Mon",
 }
-#: Layout pieces and Java patterns.
-PIECES = [("January", "MMMM"), ("Monday", "EEEE"), ("2006", "yyyy"), ("Z07:00", "XXX"), ("-07:00", "xxx"), ("-0700", "xx"), ("MST", "z"), ("Jan", "MMM"), ("Mon", "EEE"), ("01", "MM"), ("02", "dd"), ("_2", "d"), ("15", "HH"), ("03", "hh"), ("04", "mm"), ("05", "ss"), ("06", "yy"), ("PM", "a"), (".999999999", ""), (".000", ".SSS"), ("1", "M"), ("2", "d"), ("3", "h"), ("4", "m"), ("5", "s")]
-_PIECE = re.compile("|".join(re.escape(p) for p, _ in PIECES))
-ZONE = r"\s*(Z|[+-]\d\d:?\d\d)$"
-#: Patterns tried in turn by detection, without their zone.
-DETECT = ["d/MMM/yyyy:HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy/MM/dd HH:mm:ss", "d/MMM/yyyy HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "MMM d HH:mm:ss yyyy"]
-
-
-#: Pattern letters and what their text looks like; a parse is only tried where the shape fits, as a failed one costs an exception.
-SHAPES = {"yyyy": r"[+-]?\d{4,}", "MMM": r"\pL+\.?", "MM": r"\d\d", "dd": r"\d\d", "d": r"\d{1,2}", "HH": r"\d\d", "mm": r"\d\d", "ss": r"\d\d", "SSS": r"\d+", "'T'": "[Tt]"}
-_SHAPE = re.compile("|".join(sorted(SHAPES, key=len, reverse=True)) + r"|.")
-
-
-def shape(pattern: str) -> str:
-    return "^" + "".join(SHAPES.get(p, re.escape(p)) for p in _SHAPE.findall(pattern)) + r"\z"
-
+#: Layout pieces, the text each reads, and the Java pattern that writes it (zones are written apart).
+PIECES = {
+    "January": ("month", r"([A-Za-z]+)", "MMMM"), "Jan": ("month", r"([A-Za-z]{3})", "MMM"), "Monday": (None, r"[A-Za-z]+", "EEEE"), "Mon": (None, r"[A-Za-z]{3}", "EEE"),
+    "2006": ("year", r"(\d{4})", "yyyy"), "Z07:00": ("zone", r"(Z|[+-]\d\d:\d\d)", None), "Z0700": ("zone", r"(Z|[+-]\d{4})", None), "-07:00": ("zone", r"([+-]\d\d:\d\d)", None),
+    "-0700": ("zone", r"([+-]\d{4})", None), "MST": ("zone", r"([A-Z]{3,5}|[+-]\d\d)", None), "01": ("month", r"(\d\d)", "MM"), "02": ("day", r"(\d\d)", "dd"), "_2": ("day", r" ?(\d{1,2})", "_d"),
+    "15": ("hour", r"(\d{1,2})", "HH"), "03": ("hour", r"(\d\d)", "hh"), "04": ("minute", r"(\d\d)", "mm"), "05": ("second", r"(\d\d)", "ss"), "06": ("year", r"(\d\d)", "yy"),
+    "PM": ("half", r"([AaPp][Mm])", "a"), ".999999999": (None, "", ""), ".000000": (None, "", ".SSSSSS"), ".000": (None, "", ".SSS"),
+    "1": ("month", r"(\d{1,2})", "M"), "2": ("day", r"(\d{1,2})", "d"), "3": ("hour", r"(\d{1,2})", "h"), "4": ("minute", r"(\d{1,2})", "m"), "5": ("second", r"(\d{1,2})", "s"),
+}
+_PIECE = re.compile("|".join(re.escape(p) for p in sorted(PIECES, key=len, reverse=True)))
+FIELDS = ("year", "month", "day", "hour", "minute", "second", "fraction", "half", "zone")
+#: Layouts that detection tries in turn; a trailing zone, a leading weekday and fractions may be added to each.
+DETECT = [
+    "_2/Jan/2006:15:04:05", "2006-01-02T15:04:05", "2006-01-02 15:04:05", "2006-01-02 15:04", "2006-01-02T15:04", "2006-01-02", "2006/01/02 15:04:05", "2006/01/02", "2006.01.02",
+    "1/2/2006 3:04:05 PM", "1/2/2006 15:04:05", "1/2/2006 3:04 PM", "1/2/2006 15:04", "1/2/2006", "1/2/06", "1.2.2006", "2-Jan-2006", "2-Jan-06", "2/Jan/2006 15:04:05", "2/Jan/2006", "2006-Jan-02",
+    "January 2, 2006 3:04:05 PM", "January 2, 2006 15:04:05", "January 2, 2006 at 3:04:05 PM", "January 2, 2006 3:04 PM", "January 2, 2006 15:04", "January 2, 2006", "January 2 2006",
+    "2 January 2006 15:04:05", "2 January 2006, 15:04:05", "2 January 2006 15:04", "2 January 2006", "2 January 06 15:04", "January _2 15:04:05 2006", "January _2 15:04:05 MST 2006", "January _2 15:04:05 -0700 2006", "20060102T150405",
+]
+#: The months.
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+
+
+def reader(layout: str, loose: bool = False) -> tuple[str, str]:
+    """(pattern, replacement) that turns a text of the layout into its FIELDS, divided by bars."""
+    out, at, found, n = "", 0, {}, 0
+
+    def literal(s):
+        return "".join(" +" if c.isspace() else re.escape(c) for c in re.sub(r"\s+", " ", s))
 
-def java_pattern(layout: str) -> str:
-    layout, out, at = LAYOUTS.get(layout.upper(), layout), "", 0
-    quote = lambda s: re.sub(r"[A-Za-z]+", lambda m: f"'{m[0]}'", s).replace("''", "") if s else ""
     for m in _PIECE.finditer(layout):
-        out += quote(layout[at : m.start()]) + dict(PIECES)[m[0]]
+        out += literal(layout[at : m.start()])
         at = m.end()
-    return out + quote(layout[at:])
-
-
-def _offset(s: Column) -> Column:
-    """Seconds of the offset at the end of s; null where there is none."""
-    z = F.regexp_extract(s, ZONE, 1)
-    n = F.regexp_replace(z, "[:Z]", "")
-    h, m = F.substring(n, 2, 2).try_cast("int"), F.substring(n, 4, 2).try_cast("int")
-    return F.when(z == "Z", 0).when(z != "", F.when(n.startswith("-"), -1).otherwise(1) * (h * 3600 + m * 60))
-
-
-def wall_clock(s: Column, layout: str) -> Column:
-    """The text's own wall clock as a zoneless timestamp; null where it doesn't parse."""
-    digits = F.when(s.rlike(r"^[+-]?\d+\z"), F.timestamp_seconds(s.try_cast("bigint")).cast("timestamp_ntz"))
-    if layout.lower() in ("epoch", "unix"):
-        return digits
-    bare = F.regexp_replace(s, ZONE, "")
+        name, pattern, _ = PIECES[m[0]]
+        if out.endswith(" +") and m[0] == "_2":
+            pattern = pattern.removeprefix(" ?")
+        out += pattern
+        if name:
+            n += 1
+            found[name] = n
+        if name == "second":  # a fraction may follow the seconds
+            out += r"(?:[.,](\d{1,9})\d*)?"
+            n += 1
+            found["fraction"] = n
+    out += literal(layout[at:])
+    if loose:
+        out = r"(?:[A-Za-z]{3,9},? +)?" + out + ("" if "zone" in found else r"(?: *(Z|[+-]\d\d:?\d\d|[A-Z]{3,5}))?(?: \([A-Z]+\))?")
+        if "zone" not in found:
+            found["zone"] = n + 1
+    blank = {"year": "0", "month": "1", "day": "1", "hour": "0", "minute": "0", "second": "0"}
+    return r"^ *" + out + r" *\z", "|".join(f"${found[f]}" if f in found else blank.get(f, "") for f in FIELDS)
+
+
+def _layout(name: str) -> str:
+    return LAYOUTS.get(name.upper(), name)
+
+
+def fields(s: Column, layout: str) -> Column:
+    """The FIELDS of s, divided by bars; null where it doesn't fit."""
     if layout.lower() in ("", "auto", "cache"):
-        found = [F.when(bare.rlike(shape(p)), F.call_function("try_to_timestamp", bare, F.lit(p)).cast("timestamp_ntz")) for p in DETECT]
-        return F.coalesce(digits, *found)
-    pattern = re.sub(r"\s*(X+|x+)$", "", java_pattern(layout))
-    return F.call_function("try_to_timestamp", bare, F.lit(pattern)).cast("timestamp_ntz")
-
-
-def seconds(ntz: Column) -> Column:
-    return F.floor(F.unix_micros(ntz.cast("timestamp")) / 1_000_000).cast("bigint")
+        out = F.lit(None).cast("string")
+        for one in reversed(DETECT):
+            pattern, order = reader(one, True)
+            out = F.when(s.rlike(pattern), F.regexp_replace(s, pattern, order)).otherwise(out)
+        return out
+    pattern, order = reader(_layout(layout))
+    return F.when(s.rlike(pattern), F.regexp_replace(s, pattern, order))
+
+
+def _moment(p: Column) -> Column:
+    """struct(wall, offset) of an array of FIELDS: the text's own clock, and its seconds east of UTC if it names any."""
+    get = lambda i: F.get(p, F.lit(i))
+    year = F.when(F.length(get(0)) == 2, F.concat(F.when(get(0) >= "69", "19").otherwise("20"), get(0))).otherwise(F.lpad(get(0), 4, "0"))
+    place = F.call_function("instr", F.lit(MONTHS), F.lower(F.left(get(1), F.lit(3))))
+    month = F.when(get(1).rlike(r"^\d+\z"), get(1)).when((place % 3) == 1, F.floor((place + 2) / 3).cast("string"))
+    hour = get(3).cast("int")
+    hour = F.when(get(7) == "", hour).when((hour < 1) | (hour > 12), None).otherwise(hour % 12 + F.when(F.upper(get(7)) == "PM", 12).otherwise(0))
+    fraction = F.when(get(6) == "", "").otherwise(F.concat(F.lit("."), F.left(get(6), F.lit(6))))
+    wall = F.concat(F.when(year == "0000", "1970").otherwise(year), F.lit("-"), month, F.lit("-"), get(2), F.lit(" "), hour.cast("string"), F.lit(":"), get(4), F.lit(":"), get(5), fraction).try_cast("timestamp_ntz")
+    digits = F.replace(F.substring(get(8), 2, 5), F.lit(":"), F.lit(""))
+    signed = (F.left(digits, F.lit(2)).try_cast("int") * 3600 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0)) * 60) * F.when(get(8).startswith("-"), -1).otherwise(1)
+    # a zone by name has no offset of its own
+    return F.struct(wall.alias("wall"), F.when(get(8) == "", None).when(get(8).rlike(r"^[+-]"), signed).otherwise(0).alias("offset"))
+
+
+def parsed(ctx, template, layout: str) -> Column:
+    """struct(number, wall, offset) of a template: unix seconds, or a time as written. One parse a row, however often it is asked for."""
+    s = args_of(ctx, [template])[0]
+    none = F.lit(None)
+
+    def make():
+        number = lambda v: F.regexp_extract(v, r"^[+-]?\d+\z", 0).try_cast("bigint")
+        if layout.lower() in ("epoch", "unix") and layout != "UNIX":
+            return F.struct(number(s).alias("number"), none.cast("timestamp_ntz").alias("wall"), none.cast("int").alias("offset"))
+        moment = lambda v: bound(F.split(F.when(~v.rlike(r"^[+-]?\d+\z"), fields(v, layout)), "[|]", -1), _moment)
+        whole = lambda v, m: F.struct(number(v).alias("number"), m["wall"].alias("wall"), m["offset"].cast("int").alias("offset"))
+        return bound(s, lambda v: bound(moment(v), lambda m: whole(v, m)))
+
+    return ctx.once(("time", ctx.scope, template, layout), make)
+
+
+def seconds(wall: Column) -> Column:
+    """Seconds of a zoneless timestamp since 1970, rounded down."""
+    days = F.datediff(wall.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86400 + (F.hour(wall) * 3600 + F.minute(wall) * 60 + F.second(wall)).cast("bigint")
+
+
+def at_seconds(n: Column) -> Column:
+    """The zoneless timestamp n seconds after 1970."""
+    days = F.floor(n / 86400)
+    return F.timestamp_add("SECOND", (n - days * 86400).cast("int"), F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int")).cast("timestamp_ntz"))
 
 
 def _zone(args, i) -> str:
     z = const(args[i]) if len(args) > i else "UTC"
-    return "UTC" if z.lower() in ("", "utc", "local") else z
+    if z.lower() in ("", "utc", "local"):
+        return "UTC"
+    try:
+        ZoneInfo(z)
+    except (KeyError, ValueError, OSError):
+        raise TemplateError("zone", z) from None
+    return z
+
+
+def _transitions(zone: str) -> list[tuple[int, int, str]]:
+    """(since unix second, seconds east of UTC, abbreviation) of a zone, from 1900 to 2100; searched to the second."""
+    z = ZoneInfo(zone)
+
+    def state(t):
+        d = datetime.fromtimestamp(t, timezone.utc).astimezone(z)
+        return int(d.utcoffset().total_seconds()), d.tzname()
+
+    start, step, out = -2208988800, 30 * 86400, []
+    out.append((-(1 << 62), *state(start)))
+    for t in range(start, 4102444800, step):
+        low, high = t, t + step
+        if state(low) != state(high):
+            while high - low > 1:
+                mid = (low + high) // 2
+                low, high = (mid, high) if state(mid) == out[-1][1:] else (low, mid)
+            out.append((high, *state(high)))
+    return out
+
+
+def _offsets(zone: str) -> tuple[Column, Column, Column]:
+    """Arrays of when offsets begin, the offsets, and their names; literals of a few hundred entries."""
+    rows = _transitions(zone)
+    return tuple(F.array(*[F.lit(r[i]).cast(t) for r in rows]) for i, t in enumerate(("bigint", "int", "string")))
+
+
+def _at_zone(n: Column, zone: str) -> tuple[Column, Column]:
+    """(seconds east of UTC, abbreviation) of a zone at unix second n."""
+    if zone == "UTC":
+        return F.lit(0), F.lit("UTC")
+    since, east, names = _offsets(zone)
+    place = F.size(F.filter(since, lambda s: s <= n)) - 1
+    return F.get(east, place), F.get(names, place)
 
 
-def instant(s: Column, layout: str, zone: str) -> Column:
-    """Unix seconds; the session's zone is UTC."""
-    wall = wall_clock(s, layout)
+def _from_wall(wall: Column, zone: str) -> Column:
+    """Unix seconds of a wall clock in a zone; of a time that occurs twice, the first."""
+    n = seconds(wall)
     if zone == "UTC":
-        at = seconds(wall) - F.when(s.rlike(ZONE), _offset(s)).otherwise(0)
-    else:
-        at = F.when(s.rlike(ZONE), seconds(wall) - _offset(s)).otherwise(seconds(F.to_utc_timestamp(wall.cast("timestamp"), zone)))
-    return F.when(s.rlike(r"^[+-]?\d+\z"), s.try_cast("bigint")).otherwise(at)
+        return n
+    rows = _transitions(zone)
+    # the last offset that has begun by the wall clock, read with the offset before
+    since = F.array(*[F.lit(rows[max(0, i - 1)][1] + r[0] if i else r[0]).cast("bigint") for i, r in enumerate(rows)])
+    east = F.array(*[F.lit(r[1]) for r in rows])
+    return n - F.get(east, F.size(F.filter(since, lambda s: s <= n)) - 1)
+
+
+def instant(t: Column, zone: str) -> Column:
+    """Unix seconds of what `parsed` gives."""
+    own = seconds(t["wall"]) - t["offset"]
+    return F.when(t["number"].isNotNull(), t["number"]).when(t["offset"].isNotNull(), own).otherwise(_from_wall(t["wall"], zone))
+
+
+_STARTED = time.time()
 
 
 @rule("time", low=1, high=3)
 def _time(ctx, _, args):
-    if args[0].constant in ("now", "live"):
+    special = args[0].constant
+    if special in ("now", "live"):  # a query has one clock
         return F.unix_timestamp().cast("string")
-    s = args_of(ctx, args[:1])[0]
-    return F.coalesce(instant(s, const(args[1]) if len(args) > 1 else "", _zone(args, 2)).cast("string"), F.lit(PARSE))
+    if special == "delta":
+        return (F.unix_timestamp() - F.lit(int(_STARTED))).cast("string")
+    t, zone = parsed(ctx, args[0], const(args[1]) if len(args) > 1 else ""), _zone(args, 2)
+    n = ctx.once(("instant", ctx.scope, args), lambda: bound(t, lambda v: instant(v, zone)))
+    out = F.coalesce(n.cast("string"), F.lit(PARSE))
+    out._integer = n
+    return out
+
+
+def _pad(n: Column) -> Column:
+    return F.lpad(n.cast("string"), 2, "0")
+
+
+def written(n: Column, layout: str, zone: str) -> Column:
+    """Unix seconds n in a layout, on the clock of a zone."""
+
+    def at(v):
+        east, name = _at_zone(v, zone)
+        wall = at_seconds(v + east)
+        size = F.abs(east)
+        sign = F.when(east < 0, "-").otherwise("+")
+        hours, minutes = _pad(F.floor(size / 3600)), _pad(F.floor(size % 3600 / 60))
+        plain, colon = F.concat(sign, hours, minutes), F.concat(sign, hours, F.lit(":"), minutes)
+        zones = {"-0700": plain, "-07:00": colon, "Z07:00": F.when(east == 0, "Z").otherwise(colon), "Z0700": F.when(east == 0, "Z").otherwise(plain), "MST": F.when(name.rlike("^[A-Z]"), name).otherwise(F.regexp_replace(name, ":?00$", ""))}
+        out, done = [], 0
+        quoted = lambda s: re.sub(r"[A-Za-z]+", lambda m: f"'{m[0]}'", s.replace("'", "''"))
+        pattern = ""
+
+        def flush():
+            nonlocal pattern
+            if pattern:
+                out.append(F.date_format(wall, pattern))
+            pattern = ""
+
+        for m in _PIECE.finditer(layout):
+            pattern += quoted(layout[done : m.start()])
+            done = m.end()
+            java = PIECES[m[0]][2]
+            if java is None:
+                flush()
+                out.append(zones[m[0]])
+            elif java == "_d":
+                flush()
+                out.append(F.lpad(F.dayofmonth(wall).cast("string"), 2, " "))
+            else:
+                pattern += java
+        pattern += quoted(layout[done:])
+        flush()
+        return F.concat(*out) if out else F.lit("")
+
+    return bound(n, at)
 
 
 @rule("timeformat", low=1, high=3)
 def _timeformat(ctx, _, args):
-    at = as_int(args_of(ctx, args[:1])[0])
-    zone, pattern = _zone(args, 2), java_pattern(const(args[1]) if len(args) > 1 else "")
-    return text(F.date_format(F.from_utc_timestamp(F.timestamp_seconds(at), zone), pattern))
+    layout = _layout(const(args[1]) if len(args) > 1 else "")
+    zone = _zone(args, 2)
+    known = vars(args_of(ctx, args)[0]).get("_integer")
+    n = known if known is not None else bound(parsed(ctx, args[0], ""), lambda t: instant(t, zone))
+    return F.coalesce(written(n, layout, zone), F.lit(PARSE))
 
 
-def _wall(ctx, args, layout, zone):
-    s = args_of(ctx, args[:1])[0]
-    shifted = F.from_utc_timestamp(F.timestamp_seconds(s.try_cast("bigint")), zone).cast("timestamp_ntz")
-    return F.when(s.rlike(r"^[+-]?\d+\z"), shifted).otherwise(wall_clock(s, layout))
+def _wall(ctx, args) -> Column:
+    """The text's own clock; unix seconds on the clock of the zone."""
+    t, zone = parsed(ctx, args[0], const(args[2]) if len(args) > 2 else ""), _zone(args, 3)
+    shifted = lambda n: at_seconds(n + _at_zone(n, zone)[0])
+    return ctx.once(("wall", ctx.scope, args[0], args[2:]), lambda: bound(t, lambda v: F.when(v["number"].isNotNull(), shifted(v["number"])).otherwise(v["wall"])))
 
 
 @rule("timeattr", low=2, high=4)
 def _timeattr(ctx, _, args):
-    t = _wall(ctx, args, const(args[2]) if len(args) > 2 else "", _zone(args, 3))
     kinds = {
-        "weekday": lambda: F.dayofweek(t) - 1, "week": lambda: F.weekofyear(t), "quarter": lambda: F.floor(F.month(t) / 3) + 1, "quarter_iso": lambda: F.quarter(t),
-        "yearweek": lambda: F.concat(F.extract(F.lit("yearofweek"), t).cast("string"), F.lit("-"), F.weekofyear(t).cast("string")),
+        "weekday": lambda t: F.dayofweek(t) - 1, "week": F.weekofyear, "quarter": lambda t: F.floor(F.month(t) / 3) + 1, "quarter_iso": F.quarter,
+        "yearweek": lambda t: F.concat(F.extract(F.lit("yearofweek"), t).cast("string"), F.lit("-"), F.weekofyear(t).cast("string")),
     }
     kind = const(args[1]).lower()
     if kind not in kinds:
         raise TemplateError("enum", kind)
-    return F.coalesce(kinds[kind]().cast("string"), F.lit(PARSE))
+    return F.coalesce(kinds[kind](_wall(ctx, args)).cast("string"), F.lit(PARSE))
 
 
 #: Bucket units in the order they are tried, with their patterns.
@@ -128,8 +301,10 @@ def _buckettime(ctx, _, args):
     pattern = next((p for n, p in UNITS if unit and n.startswith(unit)), None)
     if pattern is None:
         raise TemplateError("enum", unit)
-    t = _wall(ctx, args, const(args[2]) if len(args) > 2 else "", _zone(args, 3))
-    return F.coalesce(F.date_format(t, pattern), F.lit(PARSE))
+    out = F.date_format(_wall(ctx, args), pattern)
+    if unit == "n" or pattern.endswith("S"):
+        out = F.regexp_replace(out, r"(?:\.|(\.\d*[1-9]))0+$", "$1")
+    return F.coalesce(out, F.lit(PARSE))
 
 
 #: Seconds of duration units.

@@ -187,15 +187,15 @@ class _Longest(Matcher):
 
         pattern, flags = self.pattern, self.whole
 
-        @F.pandas_udf("array<string>")
-        def find(lines: pd.Series) -> pd.Series:
+        def find(lines):
             import regex as engine
 
             search = engine.compile(flags + pattern, engine.POSIX).search
             found = ((v, search(v)) for v in lines.fillna(""))
             return pd.Series([[m[0], *(g or "" for g in m.groups()), ""] if m else [v] for v, m in found])
 
-        return find(line)
+        find.__annotations__ = {"lines": pd.Series, "return": pd.Series}
+        return F.pandas_udf(find, "array<string>")(line)
 
     def test(self, line: Column) -> Column:
         return F.size(self.parts(line)) > 1

@@ -29,7 +29,9 @@ def _rank(key: Column, names) -> Column:
 
 def sort_columns(df: DataFrame, kind: str, key: str = "key", value: str = "count") -> list[Column]:
     """Ascending sort columns of `kind`: text, smart, numeric, contextual, date or value; `kind:desc` or `:rev` flips."""
-    from ..functions.times import wall_clock
+    from ..functions.library import Context
+    from ..functions.template import Template, Var
+    from ..functions.times import parsed
 
     kind, _, order = kind.partition(":")
     k = F.col(key)
@@ -42,7 +44,7 @@ def sort_columns(df: DataFrame, kind: str, key: str = "key", value: str = "count
     elif kind == "value":
         out = [F.col(value), k]
     elif kind in ("contextual", "date"):
-        t = wall_clock(k, "auto")
+        t = parsed(Context(lambda _: k), Template((Var("0"),)), "auto")["wall"]
         w, m = _rank(k, WEEKDAYS), _rank(k, MONTHS)
         seen = df.agg(F.bool_and(t.isNotNull()).alias("t"), F.bool_and(w.isNotNull()).alias("w"), F.bool_and(m.isNotNull()).alias("m")).first()
         out = [t, k] if kind == "date" and seen.t else [w, k] if seen.w else [m, k] if seen.m else smart(k)

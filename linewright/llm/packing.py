@@ -11,6 +11,7 @@ packed like any other row. An empty table gives no rows. Extra columns are ignor
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -83,7 +84,7 @@ class Encoder:
     the tokenizer whole. Both caches are emptied when full.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 200_000):
         import re
 
         from tokenizers import Tokenizer
@@ -118,6 +119,12 @@ class Encoder:
         return b"".join(map(known.__getitem__, words))
 
 
+@functools.lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One vocabulary and one cache for all tasks of a worker."""
+    return Encoder(path)
+
+
 def packer(path: str, length: int, end_id: int):
     def run(batches):
         import os
@@ -125,7 +132,7 @@ def packer(path: str, length: int, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
 
-        encode, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 36
         done, rows, tail, filled = 0, [], [], 0  # tail: pieces of the open sequence
 

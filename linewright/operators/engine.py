@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import times  # noqa: F401  (registers its rules)
@@ -15,11 +17,11 @@ from .sorting import sort_columns
 class Lines:
     """A column of lines with a matcher; `src` and `line` columns, where present, give {src} and {line}."""
 
-    def __init__(self, df: DataFrame, column: str = "value", matcher: M.Matcher | None = None, functions=None, tests=(), load: bool = True):
-        self.df, self.column, self.matcher, self.functions, self.tests, self.load = df, column, matcher, functions or {}, tuple(tests), load
+    def __init__(self, df: DataFrame, column: str = "value", matcher: M.Matcher | None = None, functions=None, tests=(), load: bool = True, watch=None):
+        self.df, self.column, self.matcher, self.functions, self.tests, self.load, self.watch = df, column, matcher, functions or {}, tuple(tests), load, watch
 
     def _with(self, **k) -> Lines:
-        have = {"df": self.df, "column": self.column, "matcher": self.matcher, "functions": self.functions, "tests": self.tests, "load": self.load}
+        have = {"df": self.df, "column": self.column, "matcher": self.matcher, "functions": self.functions, "tests": self.tests, "load": self.load, "watch": self.watch}
         return Lines(**(have | k))
 
     def _matching(self, matcher: M.Matcher) -> Lines:
@@ -36,6 +38,19 @@ class Lines:
     def ignore(self, *templates: str) -> Lines:
         return self._with(tests=[*self.tests, *templates])
 
+    def watched(self) -> tuple[Lines, Callable[[], tuple[int, int, int]]]:
+        """Lines that count as they run, and what gives (read, matched, ignored) after the first action, without a pass of its own."""
+        seen = {n: Observation() for n in ("read", "hit", "out")}
+
+        def counts():
+            read, hit, out = (o.get["n"] for o in seen.values())
+            return read, out, hit - out
+
+        return self._with(watch=seen), counts
+
+    def _seen(self, rows: DataFrame, name: str) -> DataFrame:
+        return rows if self.watch is None else rows.observe(self.watch[name], F.count(F.lit(1)).alias("n"))
+
     def variable(self, name: str) -> Column:
         """A variable over the columns of `matched`: the groups lie in `_m`."""
         m = self.matcher or M.always()
@@ -80,9 +95,10 @@ class Lines:
         nothing is pushed below it.
         """
         if self.matcher is None:
-            rows = self.df.withColumn("_m", self._parts())
+            rows = self._seen(self.df, "read").withColumn("_m", self._parts())
         else:
-            rows = self.df.select("*", F.explode(F.filter(F.array(self._parts()), lambda m: F.size(m) > 1)).alias("_m"))
+            rows = self._seen(self.df, "read").select("*", F.explode(F.filter(F.array(self._parts()), lambda m: F.size(m) > 1)).alias("_m"))
+        rows = self._seen(rows, "hit")
         for t in self.tests:
             rows = rows.where(~truthy(self.compile(t)))
         return rows
@@ -94,7 +110,7 @@ class Lines:
         parts = [lower_template(parse(t), ctx) for t in many]
         key = parts[0] if len(parts) == 1 else F.concat_ws(separator, *parts)
         # a generator again: a filter would be pushed down and the key be computed twice
-        return ctx.staged(self.matched()).select(*keep, F.explode(F.filter(F.array(key), lambda k: k != "")).alias("key"))
+        return self._seen(ctx.staged(self.matched()).select(*keep, F.explode(F.filter(F.array(key), lambda k: k != "")).alias("key")), "out")
 
     def filter(self, template: str | list[str] = "{0}", keep: tuple = (), limit: int | None = None) -> DataFrame:
         out = self.extract(template, keep, "\t")
@@ -150,10 +166,23 @@ class Lines:
         rows = parts.select(F.get("p", F.lit(0)).alias("col"), F.coalesce(F.get("p", F.lit(1)), F.lit("")).alias("row"), inc.alias("inc"))
         return rows.groupBy("col", "row").agg(F.sum("inc").alias("count")).where("count is not null")
 
+    def may_fail(self, template, n: int) -> bool:
+        """Whether a row of this template can hold more than n parts, and so a bad increment."""
+        many = [template] if isinstance(template, str) else list(template)
+        return len(many) > n or any("{" + f in t for t in many for f in ("$", "@"))
+
+    def numbers(self, template="{0}") -> DataFrame:
+        """(v): extracted numbers, null for other text."""
+        return self.extract(template).select(as_num(F.col("key")).alias("v"))
+
     def analyze(self, template="{0}", quantiles=(90, 99, 99.9), reverse: bool = False) -> DataFrame:
         """One row; the order statistics are picked by distributed rank, never from one collected list."""
-        v = self.extract(template).select(as_num(F.col("key")).alias("v")).where("v is not null")
+        return self.analyzed(self.numbers(template).where("v is not null"), quantiles, reverse)
+
+    def analyzed(self, v: DataFrame, quantiles=(), reverse: bool = False, ranked: bool = True) -> DataFrame:
         base = v.agg(F.count("*").alias("samples"), F.avg("v").alias("mean"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("stddev"), F.min("v").alias("min"), F.max("v").alias("max"))
+        if not ranked:
+            return base
         counts = v.groupBy("v").agg(F.count("*").alias("c"))
         mode = F.max_by("v", F.struct("c", F.col("v") if reverse else -F.col("v"))).alias("mode")
         # distinct values in order carry the number of samples before them: range partitions, then offsets
@@ -165,16 +194,23 @@ class Lines:
         return base.crossJoin(picked)
 
     def reduce(self, columns: list[tuple[str, str, str]], group: list[tuple[str, str]] = (), order: tuple = (), extract="{@}") -> DataFrame:
-        return fold(self.extract(extract, keep=order), list(columns), list(group), list(order), self.functions)
+        return fold(self.extract(extract, keep=order), list(columns), list(group), list(order), self.functions, self.load)
+
 
+def running(counts: DataFrame, value: str, count: str, descending: bool = False, ranges: int = 1024) -> DataFrame:
+    """(value, count, before): samples before each distinct value.
 
-def running(counts: DataFrame, value: str, count: str, descending: bool = False) -> DataFrame:
-    """(value, count, before): samples before each distinct value, by range partition and per-partition offsets."""
-    key = F.col(value).desc() if descending else F.col(value).asc()
-    parts = counts.repartitionByRange(key).withColumn("part", F.spark_partition_id())
-    offsets = parts.groupBy("part").agg(F.sum(count).alias("s")).select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("base"))
-    inner = F.sum(count).over(Window.partitionBy("part").orderBy(key)) - F.col(count)
-    return parts.join(F.broadcast(offsets), "part").select(value, F.col(count).alias("c"), (F.col("base") + inner).alias("before"))
+    Values are cut into ranges at quantiles, and the number of a range is a column, so the sums of
+    ranges and the rows they are added to agree however Spark lays out its partitions.
+    """
+    sign = -1 if descending else 1
+    edges = sorted({float(e) for e in counts.approxQuantile(value, [i / ranges for i in range(1, ranges)], 1 / ranges)})
+    place = F.array(*[F.lit(e) for e in edges]) if edges else F.array().cast("array<double>")
+    parts = counts.select(value, F.col(count).alias("c"), (F.size(F.filter(place, lambda e: e < F.col(value))) * sign).alias("part"))
+    offsets = parts.groupBy("part").agg(F.sum("c").alias("s"))  # at most `ranges` rows
+    offsets = offsets.select(F.col("part").alias("p"), (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("base"))
+    inner = F.sum("c").over(Window.partitionBy("part").orderBy(F.col(value).desc() if descending else F.col(value).asc())) - F.col("c")
+    return parts.join(F.broadcast(offsets), F.col("part") == F.col("p")).select(value, "c", (F.col("base") + inner).alias("before"))
 
 
 def totals(long: DataFrame) -> DataFrame:
@@ -200,8 +236,8 @@ def last_columns(long: DataFrame, n: int, sort: str = "smart") -> DataFrame:
     return long.join(F.broadcast(keep), F.col("col") == F.col("_c")).drop("_c")
 
 
-def fold(rows: DataFrame, columns, group, order, functions) -> DataFrame:
-    """A grouped fold. Columns of a known shape become plain aggregates; only others fold in order."""
+def fold(rows: DataFrame, columns, group, order, functions, load: bool = True) -> DataFrame:
+    """A grouped fold. Columns of a known shape become plain aggregates; only others fold in order, over each group's rows in one array."""
     elements = F.split("key", NUL, -1)
 
     def outer(name):
@@ -209,9 +245,13 @@ def fold(rows: DataFrame, columns, group, order, functions) -> DataFrame:
             return F.col("key")
         return F.coalesce(F.get(elements, F.lit(int(name) - 1)), F.lit("")) if name.isdigit() else F.lit("")
 
-    ctx = Context(outer, functions)
-    keys = [lower_template(parse(t), ctx).alias(n) for n, t in group]
-    names, out, later, plain = [c[0] for c in columns], [], [], True
+    ctx = Context(outer, functions, load)
+    names = [c[0] for c in columns]
+    at = {n: f"_d{i}" for i, n in enumerate(names)}  # names of any text
+    by = [f"_g{i}" for i in range(len(group))]
+    keys = [lower_template(parse(t), ctx).alias(g) for g, (_, t) in zip(by, group)]
+    named = lambda df: df.select(*by, *at.values()).toDF(*[n for n, _ in group], *names)
+    out, later, plain = [], [], True
     for i, (name, init, template) in enumerate(columns):
         t = parse(template)
         shape = _shape(t, name, names)
@@ -223,19 +263,22 @@ def fold(rows: DataFrame, columns, group, order, functions) -> DataFrame:
             plain = False
             break
         kind, x = shape
-        x = lower_template(x, ctx)
-        out.append(_aggregate(kind, x, init, order).alias(name))
+        out.append(_aggregate(kind, lower_template(x, ctx), init, order).alias(at[name]))
     if plain:
+        if not out:
+            out = [F.count("*").alias("_n")]
         found = rows.groupBy(*keys).agg(*out) if group else rows.agg(*out)
         for name, t in later:
-            found = found.withColumn(name, lower_template(t, Context(lambda n: F.col(n).cast("string") if n in names else F.lit(""), functions)))
-        return found.select(*[n for n, _ in group], *names)
+            found = found.withColumn(at[name], lower_template(t, Context(lambda n: F.col(at[n]).cast("string") if n in at else F.lit(""), functions, load)))
+        return named(found)
+    if not order:
+        raise ValueError("a fold needs an order of rows")
     line = F.struct(*order, F.col("key").alias("_key"))
-    lists = rows.select(*keys, line.alias("_e")).groupBy(*[n for n, _ in group]).agg(F.array_sort(F.collect_list("_e")).alias("_l"))
-    start = F.struct(*[F.lit(init).alias(n) for n, init, _ in columns])
+    lists = rows.select(*keys, line.alias("_e")).groupBy(*by).agg(F.array_sort(F.collect_list("_e")).alias("_l"))
+    start = F.struct(*[F.lit(init).alias(at[n]) for n, init, _ in columns])
 
     def step(state, e):
-        now = {n: state[n] for n in names}
+        now = {n: state[at[n]] for n in names}
         parts = F.split(e["_key"], NUL, -1)
         for n, _, template in columns:
             def variable(v, n=n):
@@ -245,10 +288,53 @@ def fold(rows: DataFrame, columns, group, order, functions) -> DataFrame:
                     return e["_key"]
                 return F.coalesce(F.get(parts, F.lit(int(v) - 1)), F.lit("")) if v.isdigit() else now.get(v, F.lit(""))
 
-            now[n] = lower_template(parse(template), Context(variable, functions))
-        return F.struct(*[now[n].alias(n) for n in names])
+            now[n] = lower_template(parse(template), Context(variable, functions, load))
+        return F.struct(*[now[n].alias(at[n]) for n in names])
+
+    return named(lists.withColumn("_s", F.aggregate("_l", start, step)).select(*by, *[F.col(f"_s.{at[n]}").alias(at[n]) for n in names]))
+
 
-    return lists.withColumn("_s", F.aggregate("_l", start, step)).select(*[n for n, _ in group], *[F.col(f"_s.{n}").alias(n) for n in names])
+def sort_groups(found: DataFrame, groups: list[str], columns: dict[str, str], template: str = "", reverse: bool = False, functions=None) -> DataFrame:
+    """Groups of a fold in order of a template, or of their key, by the contextual order; ties by the key.
+
+    In the template {.} is the key, {0} the first group, and a name the column that `columns` gives for it.
+    """
+    key = F.concat_ws(NUL, *groups) if groups else F.lit("")
+
+    def variable(name):
+        if name == ".":
+            return key
+        if name.isdigit():
+            return F.col(groups[int(name)]) if int(name) < len(groups) else F.lit("")
+        return F.coalesce(F.col(columns[name]), F.lit("")) if name in columns else F.lit("")
+
+    by = lower_template(parse(template), Context(variable, functions)) if template else key
+    keyed = found.withColumns({"_sort": by, "_key": key})
+    return keyed.orderBy(*sort_columns(keyed, "contextual" + (":desc" if reverse else ""), key="_sort"), "_key").drop("_sort", "_key")
+
+
+def format_columns(df: DataFrame, formats: dict[str, str], functions=None) -> DataFrame:
+    """df with columns shown by templates, where {0}, {val}, {value} and {.} are the value; a bare function name formats {0}."""
+    from ..functions.library import RULES
+
+    out = {}
+    for name, template in formats.items():
+        if template in RULES or template in (functions or {}):
+            template = "{" + template + " {0}}"
+        value = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        out[name] = lower_template(parse(template), Context(lambda v, value=value: value if v in ("0", "val", "value", ".") else F.lit(""), functions))
+    return df.withColumns(out) if out else df
+
+
+def needs_order(columns) -> bool:
+    """Whether some column of a fold depends on the order of rows."""
+    names = [c[0] for c in columns]
+    for i, (name, _, template) in enumerate(columns):
+        t = parse(template)
+        shape = _shape(t, name, names)
+        if shape is None and not _names(t) <= set(names[:i]) or shape is not None and shape[0] == "last" or shape is None and _has_positions(t):
+            return True
+    return False
 
 
 def _names(t: Template) -> set[str]:
@@ -278,7 +364,9 @@ def _shape(t: Template, name: str, names):
 
 def _aggregate(kind, x: Column, init: str, order) -> Column:
     if kind == "last":
-        return F.max_by(x, F.struct(*order)) if order else F.last(x)
+        if not order:
+            raise ValueError("a last value needs an order of rows")
+        return F.max_by(x, F.struct(*order))
     v = as_num(x) if kind == "sumf" else as_int(x)
     start = F.lit(float(init) if kind == "sumf" else int(init))
     total = F.try_sum(v)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import scale
-from ..operators.engine import Lines, last_columns, minmax, totals
+from ..operators.engine import Lines, format_columns, last_columns, minmax, sort_groups, totals
+from ..operators.fuzzy import fuzzy_keys
 from ..operators.sorting import sort_columns
-from ..sources.text import events_lines
+from ..sources.text import events_lines, read
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -67,6 +71,28 @@ query("search", f"select event_id, v as key from {E} where regexp_matches(v, '(?
 query("special_keys", f"select event_id, regexp_extract(v, 'user=(\\d+) (\\w+)', 1) || ',' || regexp_extract(v, 'user=(\\d+) (\\w+)', 2) || ' {{\"u\": ' || regexp_extract(v, 'user=(\\d+) (\\w+)', 1) || '}}' as key from {E}")(
     lambda s, d: _lines(s, d).match(r"user=(?P<u>\d+) (\w+)").extract("{@join {@} ,} {.}", ("event_id",)))
 
+
+
+def _written(spark, sf):
+    """The log lines as one text file, read back by the text source."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linewright")
+    path = f"{folder}/scan-{uuid.uuid4().hex}"
+    events_lines(spark, sf).orderBy("event_id").select("value").coalesce(1).write.text(path)
+    return path
+
+
+query("scan_text_file", f"select v as value, row_number() over (order by event_id)::bigint as line from {E}")(lambda s, d: read(s, _written(s, d), numbered=True).select("value", "line"))
+query("scan_text_twice", f"select v as value from {E} union all select v from {E}")(lambda s, d: (lambda p: read(s, p, p).select("value"))(_written(s, d)))
+query("match_regex_posix", f"select event_id, regexp_extract(v, 'user=[0-9]+ [a-z]+') as key from {E}")(lambda s, d: _lines(s, d).match(r"user=[0-9]|user=[0-9]+ [a-z]+", longest=True).extract("{0}", ("event_id",)))
+query("match_pcre2", f"select event_id, regexp_extract(v, 'user=([0-9]+) view', 1) as key from {E} where event_type = 'view'".replace("select event_id, v as key", "select").replace(f"from {E}", f"from (select event_id, event_type, {LINE} as v from events)"))(
+    lambda s, d: _lines(s, d).match(r"(?<=user=)[0-9]+(?= view)", backtracking=True).extract("{0}", ("event_id",)))
+query("match_classes", f"select event_id, regexp_extract(v, '[a-z]+ ([0-9.]+) ', 1) as key from {E}")(lambda s, d: _lines(s, d).match(r"[[:alpha:]]+ ([[:digit:].]+)\Q {\E").extract("{1}", ("event_id",)))
+query("ignore_any", f"select event_id, regexp_extract(v, 'user=(\\d+)', 1) as key from (select event_id, event_type, user_id, {LINE} as v from events) where event_type <> 'error' and user_id >= 20 and user_id % 7 <> 0")(
+    lambda s, d: _lines(s, d).match(r"user=(\d+) (\w+)").ignore("{eq {2} error}", "{lt {1} 20}", "{eq {modi {1} 7} 0}").extract("{1}", ("event_id",)))
+query("special_keys_source", f"select event_id, 'log:' || event_id || ' {{\"0\": \"user=' || user_id || '\", \"1\": ' || user_id || '}} {{\"u\": ' || user_id || ', \"0\": \"user=' || user_id || '\", \"1\": ' || user_id || '}}' as key from events")(
+    lambda s, d: Lines(events_lines(s, d).select("*", F.lit("log").alias("src"), F.col("event_id").alias("line"))).match(r"user=(?P<u>\d+)").extract("{src}:{line} {#} {.#}", ("event_id",)))
+query("filter_limit", "select least(7, count(*))::bigint as n from events")(lambda s, d: _lines(s, d).filter("{0}", limit=7).agg(F.count("*").alias("n")))
+
 # expressions ---------------------------------------------------------------------------
 each("arithmetic_int", "lineitem", "l_orderkey", {"a": "{sumi {1} {2} 3}", "b": "{subi {1} {2}}", "c": "{multi {1} {2}}", "d": "{divi {1} {2}}", "e": "{modi {1} {2}}", "f": "{maxi {1} {2}}", "g": "{mini {1} {2}}", "h": "{sumi {1} x}", "i": "{divi {1} 0}"},
      "select l_orderkey, (l_partkey+l_suppkey+3)::varchar as a, (l_partkey-l_suppkey)::varchar as b, (l_partkey*l_suppkey)::varchar as c, case when l_suppkey=0 then '9223372036854775807' else (l_partkey//nullif(l_suppkey,0))::varchar end as d, case when l_suppkey=0 then '0' else (l_partkey%nullif(l_suppkey,0))::varchar end as e, greatest(l_partkey,l_suppkey)::varchar as f, least(l_partkey,l_suppkey)::varchar as g, '<BAD-TYPE>' as h, '9223372036854775807' as i from lineitem", ["cast(l_partkey as string)", "cast(l_suppkey as string)"])
@@ -86,6 +112,18 @@ each("arrays", "part", "p_partkey", {"a": "{@len {@split {1}}}", "b": "{@join {@
      "with x as (select *, string_split(p_name,' ') l from part) select p_partkey, len(l)::varchar as a, upper(replace(p_name,' ','-')) as b, array_to_string(list_filter(l, lambda w: contains(w,'r')),'+') as c, l[-1] as d, case when p_size = 1 then '<BAD-TYPE>' else ((p_size*(p_size-1))//2)::varchar end as e, l[2] as f, case when p_brand in ('Brand#1','Brand#17') then '1' else '' end as g, '5,3' as h, '1,2,4,8,16' as i from x", ["p_name", "p_brand", "cast(p_size as string)"])
 each("formula", "lineitem", "l_orderkey", {"a": "{round {! [1]*(1-[2])} 3}", "b": "{! [3]%7 + 2^3^1}", "c": "{! 2(3+1) << 1}", "d": "{! [3] > 100 && [3] < 500}", "e": "{! floor([1]/100)*100}", "f": "{! -abs(0-[3])}"},
      "select l_orderkey, printf('%.3f', l_extendedprice*(1-l_discount)) as a, (l_partkey%7+8)::varchar as b, '16' as c, case when l_partkey>100 and l_partkey<500 then '1' else '0' end as d, (floor(l_extendedprice/100)*100)::bigint::varchar as e, case when l_partkey = 0 then '-0' else (-l_partkey)::varchar end as f from lineitem", ["cast(l_extendedprice as string)", "cast(l_discount as string)", "cast(l_partkey as string)"])
+each("formula_bits", "lineitem", "l_orderkey", {"a": "{! [0] & 12 | 1}", "b": "{! [0] >> 2}", "c": "{! [0] << 3}", "d": "{! 0x1f + 0b101 + 0o17}", "e": "{! [0] == 5 || [0] >= 100}", "f": "{! ![0] + abs(-[0])}", "g": "{round {! sqrt([0]) + exp(1) + log(10) + log2(8) + log10(100)} 4}", "h": "{round {! sin(1) + cos(1) + tan(1) + asin(0.5) + acos(0.5) + atan(1)} 4}", "i": "{! ceil([0] / 7) - floor([0] / 7)}"},
+     "select l_orderkey, (l_partkey & 12 | 1)::varchar as a, (l_partkey >> 2)::varchar as b, (l_partkey << 3)::varchar as c, '51' as d, case when l_partkey = 5 or l_partkey >= 100 then '1' else '0' end as e, (case when l_partkey = 0 then 1 else 0 end + l_partkey)::varchar as f, printf('%.4f', sqrt(l_partkey) + exp(1) + ln(10) + 3 + 2) as g, printf('%.4f', sin(1) + cos(1) + tan(1) + asin(0.5) + acos(0.5) + atan(1)) as h, case when l_partkey % 7 = 0 then '0' else '1' end as i from lineitem", ["cast(l_partkey as string)"])
+each("logarithms", "orders", "o_orderkey", {"a": "{round {log10 {1}} 4}", "b": "{round {log2 {1}} 4}", "c": "{round {ln {1}} 4}", "d": "{round {subf {1} 0.5} 2}", "e": "{round {pow {sqrt {1}} 2} 2}", "f": "{color red {1}}", "g": "{log10 0}"},
+     "select o_orderkey, printf('%.4f', log10(o_totalprice)) as a, printf('%.4f', log2(o_totalprice)) as b, printf('%.4f', ln(o_totalprice)) as c, printf('%.2f', o_totalprice - 0.5) as d, printf('%.2f', pow(sqrt(o_totalprice), 2)) as e, chr(27) || '[31m' || o_totalprice || chr(27) || '[0m' as f, '-Inf' as g from orders", ["cast(o_totalprice as string)"])
+each("strings_edge", "part", "p_partkey", {"a": "{replace {1} \"\" -}", "b": "{format '%q|%-9s|%.3s' {2} {2} {1}}", "c": "{dirname /x/../{2}/./y//z}", "d": "{dirname {2}}", "e": "{format %d {2}}"},
+     "select p_partkey, '-' || regexp_replace(p_name, '(.)', '\\1-', 'g') as a, '\"' || p_brand || '\"|' || rpad(p_brand, greatest(9, length(p_brand))::int, ' ') || '|' || left(p_name, 3) as b, '/' || p_brand || '/y' as c, '.' as d, '%!d(string=' || p_brand || ')' as e from part", ["p_name", "p_brand"])
+each("time_layouts", "events", "event_id", {a: "{time {%d}%s}" % (i, f" {n}" if n else "") for i, (a, n) in enumerate([("ansic", "ANSIC"), ("unix", "UNIX"), ("ruby", "RUBY"), ("rfc1123", "RFC1123"), ("rfc1123z", "RFC1123Z"), ("rfc3339", "RFC3339"), ("us", ""), ("long", ""), ("european", ""), ("day", "")], 1)},
+     "select event_id, e as ansic, e as unix, e as ruby, e as rfc1123, e as rfc1123z, e as rfc3339, e as us, e as long, e as european, (epoch(date_trunc('day', ts)))::bigint::varchar as day from (select event_id, ts, epoch(date_trunc('second', ts))::bigint::varchar as e from events)",
+     ["date_format(ts, 'EEE MMM d HH:mm:ss yyyy')", "concat(date_format(ts, 'EEE MMM d HH:mm:ss'), ' UTC ', date_format(ts, 'yyyy'))", "concat(date_format(ts, 'EEE MMM dd HH:mm:ss'), ' +0000 ', date_format(ts, 'yyyy'))", "concat(date_format(ts, 'EEE, dd MMM yyyy HH:mm:ss'), ' GMT')", "concat(date_format(ts + interval 2 hours, 'EEE, dd MMM yyyy HH:mm:ss'), ' +0200')", "concat(date_format(ts - interval 90 minutes, \"yyyy-MM-dd'T'HH:mm:ss\"), '-01:30')", "date_format(ts, 'MMM d, yyyy h:mm:ss a')", "date_format(ts, 'MMMM d, yyyy HH:mm:ss')", "date_format(ts, 'd MMM yyyy HH:mm:ss')", "date_format(ts, 'MMMM d, yyyy')"])
+each("time_zones", "events", "event_id", {"a": '{time {1} "2006-01-02 15:04:05" Asia/Tokyo}', "b": "{timeformat {time {1}} NGINX Asia/Tokyo}", "c": "{timeformat {time {1}} RFC3339 Asia/Kolkata}", "d": "{buckettime {2} hour auto Asia/Tokyo}", "e": "{timeformat {2} RFC1123}", "f": "{buckettime {3} nanos}"},
+     "select event_id, (epoch(t)::bigint - 32400)::varchar as a, strftime(t + interval 9 hour, '%-d/%b/%Y:%H:%M:%S +0900') as b0, strftime(t + interval 330 minute, '%Y-%m-%dT%H:%M:%S+05:30') as c, strftime(t + interval 9 hour, '%Y-%m-%d %H') as d, strftime(t, '%a, %d %b %Y %H:%M:%S UTC') as e, strftime(t, '%Y-%m-%d %H:%M:%S') || '.25' as f, lpad(strftime(t + interval 9 hour, '%-d'), 2, ' ') || strftime(t + interval 9 hour, '/%b/%Y:%H:%M:%S +0900') as b from (select event_id, date_trunc('second', ts) as t from events)".replace("strftime(t + interval 9 hour, '%-d/%b/%Y:%H:%M:%S +0900') as b0, ", ""),
+     ["date_format(ts, 'yyyy-MM-dd HH:mm:ss')", "cast(unix_seconds(cast(ts as timestamp)) as string)", "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), '.2500')"])
 each("json", "events", "event_id", {"a": "{json {1} k}", "b": "{json k}", "c": "{json {1} missing}"}, "select event_id, json_extract_string(props,'$.k') as a, json_extract_string(props,'$.k') as b, '' as c from events", ["props"])
 each("time", "events", "event_id", {"a": "{time {1}}", "b": "{buckettime {1} hour}", "c": "{timeattr {1} weekday}", "d": "{timeattr {1} week}", "e": "{timeattr {1} yearweek}", "f": "{timeattr {1} quarter}", "g": "{timeformat {time {1} NGINX} RFC3339}", "h": "{buckettime {1} mo nginx}", "i": "{durationformat {2}}", "j": "{duration {durationformat {2}}}", "k": "{time x}"},
      "select event_id, epoch(date_trunc('second', ts))::bigint::varchar as a, strftime(ts,'%Y-%m-%d %H') as b, dayofweek(ts)::varchar as c, week(ts)::varchar as d, isoyear(ts)||'-'||week(ts) as e, (month(ts)//3+1)::varchar as f, strftime(ts,'%Y-%m-%dT%H:%M:%SZ') as g, strftime(ts,'%Y-%m') as h, case when event_id>=3600 then (event_id//3600)||'h' else '' end||case when event_id>=60 then (event_id%3600//60)||'m' else '' end||(event_id%60)||'s' as i, event_id::varchar as j, '<PARSE-ERROR>' as k from events", ["concat(date_format(ts,'dd/MMM/yyyy:HH:mm:ss'), ' +0000')", "cast(event_id as string)"])
@@ -126,6 +164,13 @@ query("analyze_reverse", "with x as (select list_reverse_sort(list(value)) s, co
     lambda s, d: _lines(s, d).match(r" ([0-9.]+) \{").analyze("{1}", (90,), True).select("median", "p90"))
 query("reduce", "select event_type as kind, sum(user_id)::bigint::varchar as total, count(*)::varchar as n, (sum(user_id)//count(*))::bigint::varchar as mean, max(user_id)::varchar as top from events group by 1")(
     lambda s, d: _lines(s, d).match(r"user=(\d+) (\w+)").reduce([("total", "0", "{sumi {.} {1}}"), ("n", "0", "{sumi {.} 1}"), ("mean", "0", "{divi {total} {n}}"), ("top", "0", "{maxi {.} {1}}")], [("kind", "{2}")]))
+query("reduce_sort", "select kind, total, row_number() over (order by total::bigint desc, kind)::int as rank from (select event_type as kind, sum(user_id)::bigint::varchar as total from events group by 1)")(
+    lambda s, d: (lambda f: sort_groups(f, ["kind"], {"total": "total"}, "{subi 0 {total}}").select("kind", "total", F.row_number().over(Window.orderBy(F.col("total").cast("bigint").desc(), "kind")).alias("rank")))(_lines(s, d).match(r"user=(\d+) (\w+)").reduce([("total", "0", "{sumi {.} {1}}")], [("kind", "{2}")])))
+query("reduce_format", "select event_type as kind, format('{:,}', sum(user_id)::bigint) as total, 'n=' || count(*) as n from events group by 1")(
+    lambda s, d: format_columns(_lines(s, d).match(r"user=(\d+) (\w+)").reduce([("total", "0", "{sumi {.} {1}}"), ("n", "0", "{sumi {.} 1}")], [("kind", "{2}")]), {"total": "hi", "n": "n={0}"}))
+query("bargraph_stacked", "select event_type as key, count(*)::bigint as total, count(distinct user_id % 3)::bigint as parts from events group by 1")(
+    lambda s, d: _lines(s, d).match(r"user=(\d+) (\w+)").bars("{$ {2} {modi {1} 3}}").groupBy("key").agg(F.sum("count").alias("total"), F.count("*").alias("parts")))
+query("fuzzy")(lambda s, d: fuzzy_keys(s.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("key"))))
 query("reduce_fold", "select conv_id::varchar as conv, string_agg(role[1], '' order by turn) as roles from conversations group by 1")(
     lambda s, d: Lines(s.read.parquet(f"{d}/conversations.parquet").select("turn", F.concat_ws(" ", F.col("conv_id").cast("string"), "role").alias("value"))).match(r"^(\d+) (\w)").reduce([("roles", "", "{.}{2}")], [("conv", "{1}")], ("turn",)))
 

@@ -17,7 +17,7 @@ from linewright.streaming import tail
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_catalogue(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents pages conversations".split():

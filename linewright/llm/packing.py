@@ -1,7 +1,7 @@
 """Packing along a space-filling curve.
 
 Each document's words are hashed to a few projected dimensions, the coordinates give
-a Hilbert key, rows are range-sorted by (key, doc_id) and the token stream of each
+a Hilbert key, rows are range-sorted by it and the token stream of each
 range is cut into sequences of `length` tokens. The rest of a range is cut into
 sequences whose lengths are powers of two, which need no padding.
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._util import partitions, table, tokenizer_path
-from ._words import Powers, words_of
+from ._words import Powers, mix, words_of
 
 DIMS, BITS = 4, 10
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -55,18 +55,55 @@ def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(batches):
+SPREAD = 20  # bits that tell apart rows of one place on the curve
+
+
+def curve_keys(powers: Powers, texts: list, rows: np.ndarray) -> np.ndarray:
+    """Places of texts on the curve; rows of one place are spread out by the hash of their number, so that repeated rows don't meet in one task."""
+    points = np.zeros((len(texts), DIMS))
+    for i, text in enumerate(texts):
+        h = words_of(text.encode().lower(), powers)[2] if text else np.zeros(0, np.uint64)
+        if len(h):
+            for d in range(DIMS):  # one random sign per word and dimension
+                points[i, d] = 2.0 * np.count_nonzero((h >> np.uint64(7 + d)) & np.uint64(1)) / len(h) - 1
+    side = 1 << BITS
+    cells = np.clip((np.tanh(points * 4) + 1) / 2 * side, 0, side - 1)
+    return hilbert(cells, BITS) << SPREAD | (mix(rows.astype(np.uint64)) >> np.uint64(64 - SPREAD)).astype(np.int64)
+
+
+def _sampled(batches):
     powers = Powers()
     for batch in batches:
-        points = np.zeros((len(batch), DIMS))
-        for i, text in enumerate(batch["text"].to_pylist()):
-            h = words_of(text.encode().lower(), powers)[2] if text else np.zeros(0, np.uint64)
-            if len(h):
-                for d in range(DIMS):  # one random sign per word and dimension
-                    points[i, d] = 2.0 * np.count_nonzero((h >> np.uint64(7 + d)) & np.uint64(1)) / len(h) - 1
-        side = 1 << BITS
-        cells = np.clip((np.tanh(points * 4) + 1) / 2 * side, 0, side - 1)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array(hilbert(cells, BITS))], ["doc_id", "text", "key"])
+        texts = batch["text"].to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array(curve_keys(powers, texts, batch["row"].to_numpy())), pa.array([len(t or "") + 1 for t in texts], pa.int64())], ["place", "size"])
+
+
+def _placed(bounds: np.ndarray):
+    def run(batches):
+        powers = Powers()
+        for batch in batches:
+            places = curve_keys(powers, batch["text"].to_pylist(), batch["row"].to_numpy())
+            part = np.searchsorted(bounds, places, "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array(places), pa.array(part)], ["doc_id", "text", "place", "part"])
+
+    return run
+
+
+def boundaries(rows: DataFrame, n: int, per_range: int = 100) -> np.ndarray:
+    """n - 1 places that cut the curve into ranges of about equal text, from a sample of some `per_range` rows a range.
+
+    The sample only places the cuts; every row is packed. Its keys alone are computed twice.
+    """
+    total = rows.count()
+    if n < 2 or not total:
+        return np.zeros(0, np.int64)
+    sample = rows if total <= per_range * n else rows.where(F.rand(11) < per_range * n / total)
+    found = sorted((r.place, r.size) for r in sample.mapInArrow(_sampled, "place long, size long").collect())
+    if not found:
+        return np.zeros(0, np.int64)
+    ends = np.cumsum([s for _, s in found])
+    cuts = np.searchsorted(ends, ends[-1] * np.arange(1, n) / n)
+    return np.array([found[i][0] for i in cuts], np.int64)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -185,10 +222,12 @@ def ranges(docs: DataFrame, most_bytes: int) -> int:
 
 
 def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, vocabulary: str | None = None, most_bytes: int = 64 << 20) -> DataFrame:
-    """Rows of one place on the curve and one doc_id are told apart by their number, so that repeated rows don't meet in one task."""
+    """Pieces of all rows, in the columns of SCHEMA."""
     rows = docs.select("doc_id", "text")
-    keyed = rows.mapInArrow(curve_keys, "doc_id long, text string, key long").withColumn("row", F.monotonically_increasing_id())
-    order = keyed.repartitionByRange(ranges(rows, most_bytes), "key", "doc_id", "row").sortWithinPartitions("key", "doc_id")
+    n = ranges(rows, most_bytes)
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    placed = rows.mapInArrow(_placed(boundaries(rows, n)), "doc_id long, text string, place long, part int")
+    order = placed.repartitionById(n, "part").sortWithinPartitions("place", "doc_id")
     return order.select("doc_id", "text").mapInArrow(packer(vocabulary or tokenizer_path("word_bpe_49k.json"), length, end_id), SCHEMA)
 
 

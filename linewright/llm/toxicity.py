@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -70,13 +71,14 @@ def fitted(share: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 class Index:
-    def __init__(self, rows: list[tuple[int, dict[str, int], int]], block: int = 64, k: int = 9, weigh: tuple[float, float] = (1.0, 1.0)):
-        """rows: (id, words and their counts, label). `weigh`: how many labelled rows an example of label 0 and one of label 1 stand for."""
+    def __init__(self, rows: Iterable[tuple[int, dict[str, int], int]], block: int = 64, k: int = 9, weigh: tuple[float, float] = (1.0, 1.0)):
+        """rows: (id, words and their counts, label), gone through once. `weigh`: how many labelled rows an example of label 0 and one of label 1 stand for."""
         self.k, self.block, self.id = k, block, {}
-        terms, counts = [], []
-        for _, found, _ in rows:
+        terms, counts, given, rows = [], [], rows, []
+        for d, found, y in given:
             terms.append(np.fromiter((self.id.setdefault(t, len(self.id)) for t in found), np.int32, len(found)))
-            counts.append(np.fromiter(found.values(), float, len(found)))
+            counts.append(np.fromiter(found.values(), np.float32, len(found)))
+            rows.append((d, y))
         pos, neg = np.zeros(len(self.id)), np.zeros(len(self.id))
         for (*_, y), t in zip(rows, terms):
             (pos if y else neg)[t] += weigh[y]
@@ -86,11 +88,12 @@ class Index:
         toxic = sum(y for *_, y in rows)
         lift = np.maximum(0, pos / weigh[1] - 1) / max(1, toxic) * max(1, len(rows) - toxic) / (neg / weigh[0] + 1)
         self.idf = np.log((1 + size) / np.maximum(1, pos + neg)) * np.log2(2 + lift / 4) ** 2
-        vectors = [damped(c) * self.idf[t] for t, c in zip(terms, counts)]
+        vectors = [damped(c) * self.idf[t].astype(np.float32) for t, c in zip(terms, counts)]
         unit = [v / (np.linalg.norm(v) or 1) for v in vectors]
+        del counts
         # in order of their heaviest term, so that blocks are alike; a text without a word is near to nothing
         order = sorted((i for i in range(len(rows)) if len(terms[i])), key=lambda i: (int(terms[i][np.argmax(vectors[i])]), rows[i][0]))
-        self.ids, self.y = np.array([rows[i][0] for i in order], np.int64), np.array([rows[i][2] for i in order], float)
+        self.ids, self.y = np.array([rows[i][0] for i in order], np.int64), np.array([rows[i][1] for i in order], float)
         self.places = -(-len(order) // block) * block
         t = np.concatenate([np.zeros(0, np.int32), *(terms[i] for i in order)])
         at = np.repeat(np.arange(len(order), dtype=np.int32), [len(terms[i]) for i in order])
@@ -111,7 +114,7 @@ class Index:
         self.entries = np.searchsorted(t[first], np.arange(len(self.id) + 1)).astype(np.int32)
         self.prior = sum(weigh[1] for *_, y in rows if y) / size if rows else 0.1
         # in units of their mean, so that the smoothing is the same for any draw
-        self.weight = np.array([weigh[rows[i][2]] for i in order]) * (len(rows) / size if rows else 1)
+        self.weight = np.array([weigh[rows[i][1]] for i in order]) * (len(rows) / size if rows else 1)
         near = self.nearest([(terms[i], unit[i]) for i in order], np.arange(len(order)))
         self.line = fitted(np.array([self.share(*n) for n in near]), self.y, self.weight)
 
@@ -206,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, per_label: int = 3000) -> I
     bags = rows.join(F.broadcast(chosen[0].union(chosen[1])), F.col("_d") == F.col("_k")).select("_d", "_y", "_t").mapInArrow(_bags, "d long, y int, words string, counts binary")
     one = bags.groupBy("d").agg(F.min(F.struct("y", "words", "counts")).alias("x")).select("d", "x.*")
     found = sorted((r.d, r.words, bytes(r.counts), r.y) for r in one.collect())
-    examples = [(d, dict(zip(w.split(" ") if w else (), np.frombuffer(c, np.int32).tolist())), y) for d, w, c, y in found]
+    examples = ((d, dict(zip(w.split(" ") if w else (), np.frombuffer(c, np.int32).tolist())), y) for d, w, c, y in found)
     return Index(examples, weigh=tuple(max(1.0, counts.get(y, 0) / per_label) for y in (0, 1)))
 
 

@@ -697,11 +697,23 @@ def _lookup(ctx, name, args):
 
 @rule("json", low=1, high=2)
 def _json(ctx, _, args):
+    """Paths of plain names and positions stay in the JVM, where an object's own blanks are lost; all others go through Python in Arrow batches."""
     doc = ctx.variable("0") if len(args) == 1 else args_of(ctx, args[:1])[0]
-    steps = re.split(r"(?<!\\)\.", const(args[-1]))
-    if any(re.search(r"(?<!\\)[*?]", s) or s in ("#",) and i < len(steps) - 1 for i, s in enumerate(steps)):
-        raise TemplateError("path", const(args[-1]))
-    count = steps[-1] == "#"
-    path = "$" + "".join(f"[{s}]" if s.isdigit() else "['" + s.replace("\\", "") + "']" for s in steps[: len(steps) - count])
-    got = F.get_json_object(doc, path)
-    return F.coalesce(F.json_array_length(got).cast("string") if count else got, F.lit(""))
+    path = args[-1].constant
+    if path is None or re.search(r"[*?#\\]", path):
+        return _json_found(doc, lower_template(args[-1], ctx))
+    plain = "$" + "".join(f"[{s}]" if s.isdigit() else f"['{s}']" for s in path.split("."))
+    return F.coalesce(F.get_json_object(doc, plain), F.lit(""))
+
+
+def _json_found(doc: Column, path: Column) -> Column:
+    import pandas as pd
+
+    def find(docs, paths):
+        from linewright.functions.jsonpath import find, steps
+
+        known: dict[str, list] = {}
+        return pd.Series([find(d, known[p] if p in known else known.setdefault(p, steps(p))) for d, p in zip(docs, paths)])
+
+    find.__annotations__ = {"docs": pd.Series, "paths": pd.Series, "return": pd.Series}
+    return F.pandas_udf(find, "string")(doc, path)

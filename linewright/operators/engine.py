@@ -213,6 +213,15 @@ def running(counts: DataFrame, value: str, count: str, descending: bool = False,
     return parts.join(F.broadcast(offsets), F.col("part") == F.col("p")).select(value, "c", (F.col("base") + inner).alias("before"))
 
 
+def lookup_join(rows: DataFrame, key: str, table: DataFrame, name: str = "found") -> DataFrame:
+    """rows with the value of their key in a table (key, value) of any size as `name`; a missing key gives the empty text.
+
+    A key listed more than once gives its greatest value; a literal table in a template serves small lists.
+    """
+    values = table.select(F.col("key").cast("string").alias("_k"), F.col("value").cast("string").alias("_v")).groupBy("_k").agg(F.max("_v").alias("_v"))
+    return rows.join(values, rows[key] == F.col("_k"), "left").select(*[rows[c] for c in rows.columns], F.coalesce("_v", F.lit("")).alias(name))
+
+
 def totals(long: DataFrame) -> DataFrame:
     """Cells, row, column and grand totals; a total's missing key is null."""
     return long.cube("col", "row").agg(F.sum("count").alias("count"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import scale
-from ..operators.engine import Lines, format_columns, last_columns, minmax, sort_groups, totals
+from ..operators.engine import Lines, format_columns, last_columns, lookup_join, minmax, sort_groups, totals
 from ..operators.fuzzy import fuzzy_keys
 from ..operators.sorting import sort_columns
 from ..sources.text import events_lines, read
@@ -138,6 +138,11 @@ def _lookup(spark, sf):
     return lines.evaluate(lines.matched(), {"name": '{lookup {0} "%s"}' % content, "has": '{haskey {0} "%s"}' % content}, ("c_custkey",))
 
 
+query("lookup_join", "select c_custkey, coalesce(n_name, '') as found from customer left join nation on c_nationkey = n_nationkey and n_nationkey < 20")(
+    lambda s, d: lookup_join(s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.col("c_nationkey").cast("string").alias("key")), "key", s.read.parquet(f"{d}/nation.parquet").where("n_nationkey < 20").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"))).select("c_custkey", "found"))
+each("json_paths", "events", "event_id", {"a": "{json {1} a.#}", "b": "{json {1} a.#.b}", "c": "{json {1} k*}", "d": "{json {1} {2}}", "e": "{json {1} o}"},
+     "select event_id, '2' as a, '[1,' || event_id || ']' as b, event_type as c, event_type as d, '{\"x\":1}' as e from events", ["concat('{\"a\":[{\"b\":1}, {\"b\": ', event_id, '}], \"kind\": \"', event_type, '\", \"o\":{\"x\":1}}')", "'kind'"])
+
 # aggregates ----------------------------------------------------------------------------
 HIST = f"(select regexp_extract(v, ' (\\w+) [0-9.]+ \\{{', 1) as key, count(*) as count from {E} group by 1)"
 _hist = lambda s, d: _lines(s, d).match(r" (\w+) [0-9.]+ \{")

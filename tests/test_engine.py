@@ -42,6 +42,7 @@ CASES = [
     ("{json {0} a.1}", '{"a":[1,"z"]}', "z"), ("{json {0} a.#}", '{"a":[1,2]}', "2"), ("{durationformat 14400}", "", "4h0m0s"), ("{duration 1h30m}", "", "5400"), ("{isint {0}}", "1 ", ""), ("{basename {0}}", "", "."),
     ("{replace {0} \"\" x}", "ab$", "xaxbx$x"), ("{replace {0} {1} x}", "a<NAME>", "ax"), ("{dirname {0}}", "a/../b/c", "b"), ("{dirname {0}}", "/../a//b/", "/a/b"), ("{dirname {0}}", "x", "."), ("{dirname {0}}", "../../x", "../.."), ("{dirname {0}}", "/x", "/"), ("{dirname {0}}", "", "."),
     ("{format %q {0}}", 'a"b', '"a\\"b"'), ("{format %5d {0}}", "7", "%!d(string=7)"), ("{format '%-4s|%4s|%.1s' ab cd ef}", "", "ab  |  cd|e"), ("{format %s}", "", "%!s(MISSING)"), ("{format a b}", "", "a%!(EXTRA string=b)"), ("{format 100%% {0}}", "", "100%%!(EXTRA string=)"), ("{format %x ab}", "", "6162"),
+    ("{json {0} a.#.b}", '{"a": [{"b": 1}, {"c": 2}, {"b":{"x" :3}}]}', '[1,{"x" :3}]'), ("{json {0} a.*}", '{"a":{"k" : { "b": 1 }}}', '{ "b": 1 }'), ("{json {0} a?c}", '{"x":1,"abc":"é\\n"}', "é\n"), ("{json {0} a\\\\\\.b}", '{"a.b":5}', "5"), ("{json {0} #}", "[1, 2]", "2"), ("{json {0} x.#}", "no json", ""), ("{json {0} a.#.b}", '{"a":null}', ""), ("{json {0} a.b*}", '{"a":{"bb":null}}', ""),
     ("{percent 0.5 1 0 0}", "", "+Inf%"), ("{@len {@for 1 {lte {0} 2500} {sumi {0} 1}}}", "", "2500"), ("{@join {@for 0 {lt {1} 3} {sumi {0} 5}} ,}", "", "0,5,10"), ("{log10 100}{log2 8}{ln 1}", "", "230"), ("{log10 0}{ln -1}", "", "-InfNaN"), ("{color red x}", "", "\x1b[31mx\x1b[0m"),
     ("{! 0x10 + 0b11 + 0o7}", "", "26"), ("{! 6 & 3 | 8}", "", "10"), ("{! abs(-2) + sqrt(9) + exp2(3) + log2(4) + round(2.4) + ceil(1.2)}", "", "19"), ("{! 1/0}", "", "+Inf"), ("{sumf 1e20 0}", "", "100000000000000000000"), ("{multf 1e-4 1}", "", "0.0001"), ("{subf 1 2.5}", "", "-1.5"), ("{pow 2 10}", "", "1024"), ("{isnum inf}{isnum 1e5}{isnum 1d}", "", "11"),
     ("a\\{b", "", "a{b"), ("{if {0} yes no}", "  ", "no"), ("{and {0} b}", " ", "1"), ("{repeat - 3}", "", "---"), ("{! 2^3^2}", "", "64"), ("{nope}", "", "<NAME>"), ("{bar 5 10 4}", "", "██"),

@@ -91,13 +91,12 @@ class Lines:
     def matched(self) -> DataFrame:
         """Rows that match and that no ignore template accepts, with their groups in `_m`.
 
-        The groups are found once a row: a generator gives one row for a match and none otherwise, and
-        nothing is pushed below it.
+        The groups are found once a row: nothing that is asked of what a generator gives is pushed below it.
         """
         if self.matcher is None:
             rows = self._seen(self.df, "read").withColumn("_m", self._parts())
         else:
-            rows = self._seen(self.df, "read").select("*", F.explode(F.filter(F.array(self._parts()), lambda m: F.size(m) > 1)).alias("_m"))
+            rows = self._seen(self.df, "read").select("*", F.explode(F.array(self._parts())).alias("_m")).where(F.size("_m") > 1)
         rows = self._seen(rows, "hit")
         for t in self.tests:
             rows = rows.where(~truthy(self.compile(t)))
@@ -110,7 +109,7 @@ class Lines:
         parts = [lower_template(parse(t), ctx) for t in many]
         key = parts[0] if len(parts) == 1 else F.concat_ws(separator, *parts)
         # a generator again: a filter would be pushed down and the key be computed twice
-        return self._seen(ctx.staged(self.matched()).select(*keep, F.explode(F.filter(F.array(key), lambda k: k != "")).alias("key")), "out")
+        return self._seen(ctx.staged(self.matched()).select(*keep, F.explode(F.array(key)).alias("key")).where("key <> ''"), "out")
 
     def filter(self, template: str | list[str] = "{0}", keep: tuple = (), limit: int | None = None) -> DataFrame:
         out = self.extract(template, keep, "\t")
@@ -131,10 +130,11 @@ class Lines:
 
     def _counted(self, template, names: list[str], keep: tuple = ()) -> DataFrame:
         """Key parts as columns and `inc`; a missing increment is 1, a bad one is null."""
-        rows = self.extract(template, keep).select(*keep, F.split("key", NUL, -1).alias("p"))
-        n = len(names)
-        inc = F.when(F.size("p") > n, as_int(F.get("p", F.lit(n)))).otherwise(F.lit(1).cast("bigint"))
-        return rows.select(*keep, *[F.coalesce(F.get("p", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(names)], inc.alias("inc"))
+        rows, n = self.extract(template, keep), len(names)
+        many, p = F.contains("key", F.lit(NUL)), F.split("key", NUL, -1)
+        parts = [F.when(many, F.coalesce(F.get(p, F.lit(i)), F.lit(""))).otherwise(F.col("key") if i == 0 else F.lit("")).alias(c) for i, c in enumerate(names)]
+        inc = F.when(many & (F.size(p) > n), as_int(F.get(p, F.lit(n)))).otherwise(F.lit(1).cast("bigint"))
+        return rows.select(*keep, *parts, inc.alias("inc"))
 
     def _increments(self, template, names: list[str]) -> DataFrame:
         """Summed increments of each key; rows with a bad one go."""

@@ -35,17 +35,13 @@ class Matcher:
     first: int = 0  # the group that is {0}
 
     def parts(self, line: Column) -> Column:
-        """Groups 0..count and one more entry where the line matches; otherwise one entry."""
+        """Groups 0..count and one more entry where the line matches; otherwise one entry. `line` is named more than once."""
         if self.pattern is None:
             return F.array(line, F.lit(""))
         groups = range(self.first, self.first + self.count + 1)
-        text = "".join(f"${i + (self.whole is not None and not self.first)}{MARK}" for i in groups)
-
-        def once(v):
-            slow = F.when(v.rlike(self.pattern), F.array(*[F.regexp_extract(v, self.pattern, i) for i in groups], F.lit(""))).otherwise(F.array(v))
-            return F.when(F.contains(v, F.lit(MARK)), slow).otherwise(F.split(F.regexp_replace(v, self.whole, text), MARK, -1))
-
-        return F.get(F.transform(F.array(line), once), F.lit(0))
+        text = "".join(f"${i + (not self.first)}{MARK}" for i in groups)
+        slow = F.when(line.rlike(self.pattern), F.array(*[F.regexp_extract(line, self.pattern, i) for i in groups], F.lit(""))).otherwise(F.array(line))
+        return F.when(F.contains(line, F.lit(MARK)), slow).otherwise(F.split(F.regexp_replace(line, self.whole, text), MARK, -1))
 
     def test(self, line: Column) -> Column:
         return F.lit(True) if self.pattern is None else line.rlike(self.pattern)

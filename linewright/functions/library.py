@@ -42,8 +42,17 @@ class Context:
             self.stage[key] = (f"_s{len(self.stage)}", make())
         return F.col(self.stage[key][0])
 
+    def let(self, value: Column, use: Callable[[Column], Column], key=None) -> Column:
+        """use(value) with the value evaluated once a row: as a column of its own, or bound within an expression."""
+        if self.stage is None:
+            return bound(value, use)
+        return use(self.once(key or ("let", len(self.stage)), lambda: value))
+
     def staged(self, rows):
-        return rows.select("*", *[c.alias(n) for n, c in self.stage.values()]) if self.stage else rows
+        """rows with the columns, each of which may use those before it."""
+        for name, column in (self.stage or {}).values():
+            rows = rows.withColumn(name, column)
+        return rows
 
 
 def rule(*names, low=None, high=None):
@@ -100,17 +109,22 @@ INT, NUM = r"^[+-]?[0-9]+\z", r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+
 _NUMBER = r"(?i)^(?:[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|[+-]?inf(?:inity)?|nan)\z"
 
 
+def fitting(c: Column, pattern: str) -> Column:
+    """c where the pattern fits, otherwise null: a cast of other text, the empty one too, would cost an exception a row."""
+    return F.get(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.lit(0))
+
+
 def as_int(c: Column) -> Column:
     """A BIGINT, null for other text; c is named once, so that it is computed once."""
     known = vars(c).get("_integer")
-    return known if known is not None else F.regexp_extract(c, INT, 0).try_cast("bigint")
+    return known if known is not None else fitting(c, INT).try_cast("bigint")
 
 
 def as_num(c: Column) -> Column:
     known = vars(c).get("_number")  # text that num_text made: the number itself, without reading it back
     if known is None and "_integer" in vars(c):
         known = vars(c)["_integer"].cast("double")
-    return known if known is not None else F.regexp_extract(c, _NUMBER, 0).try_cast("double")
+    return known if known is not None else fitting(c, _NUMBER).try_cast("double")
 
 
 def int_text(v: Column) -> Column:
@@ -129,14 +143,10 @@ def bound(c: Column, use) -> Column:
     return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
-def bound2(a: Column, b: Column, use) -> Column:
-    """use(a, b) with both evaluated once a row."""
-    return F.get(F.zip_with(F.array(a), F.array(b), use), F.lit(0))
-
-
-def num_text(d: Column) -> Column:
+def num_text(ctx, d: Column) -> Column:
     """Shortest digits, never an exponent."""
-    out = F.coalesce(bound(d.cast("string"), _digits), F.lit(BAD))
+    d = ctx.let(d, lambda v: v)
+    out = F.coalesce(ctx.let(d.cast("string"), _digits), F.lit(BAD))
     out._number = d
     return out
 
@@ -258,7 +268,10 @@ _INTS["modi"] = lambda a, b: _known(a, b, F.when(b == 0, F.lit(0).cast("bigint")
 
 @rule(*_INTS, low=2)
 def _ints(ctx, name, args):
-    return int_text(functools.reduce(lambda x, y: bound2(x, y, _INTS[name]) if name in ("divi", "modi") else _INTS[name](x, y), [as_int(a) for a in args_of(ctx, args)]))
+    known = [as_int(a) for a in args_of(ctx, args)]
+    if name not in ("sumi", "subi", "multi"):  # these name their arguments more than once
+        return int_text(functools.reduce(lambda x, y: ctx.let(x, lambda a: ctx.let(y, lambda b: _INTS[name](a, b))), known))
+    return int_text(functools.reduce(_INTS[name], known))
 
 
 def _float_divide(a, b):
@@ -271,7 +284,7 @@ _FLOATS = {"sumf": lambda a, b: a + b, "subf": lambda a, b: a - b, "multf": lamb
 
 @rule(*_FLOATS, low=2)
 def _floats(ctx, name, args):
-    return num_text(functools.reduce(_FLOATS[name], [as_num(a) for a in args_of(ctx, args)]))
+    return num_text(ctx, functools.reduce(_FLOATS[name], [as_num(a) for a in args_of(ctx, args)]))
 
 
 def _log(f):
@@ -283,7 +296,7 @@ _UNARY = {"log10": _log(F.log10), "log2": _log(F.log2), "ln": _log(F.ln), "sqrt"
 
 @rule(*_UNARY, low=1, high=1)
 def _unary(ctx, name, args):
-    return num_text(_UNARY[name](as_num(args_of(ctx, args)[0])))
+    return num_text(ctx, ctx.let(as_num(args_of(ctx, args)[0]), _UNARY[name]))
 
 
 @rule("floor", "ceil", low=1, high=1)
@@ -300,7 +313,7 @@ def fixed(v: Column, places: int) -> Column:
 @rule("round", low=1, high=2)
 def _round(ctx, _, args):
     places = const_int(args[1]) if len(args) > 1 else 0
-    return text(bound(as_num(args_of(ctx, args[:1])[0]), lambda v: fixed(v, places)))
+    return text(fixed(as_num(args_of(ctx, args[:1])[0]), places))
 
 
 def _bucket_start(v, size):
@@ -313,8 +326,8 @@ def _bucket(ctx, name, args):
     size = const_int(args[1])
     if size <= 0:
         raise TemplateError("value", str(size))
-    start = _bucket_start(as_int(args_of(ctx, args[:1])[0]), size)
-    return text(start) if name == "bucket" else text(F.concat(start.cast("string"), F.lit(" - "), (start + (size - 1)).cast("string")))
+    start = ctx.let(as_int(args_of(ctx, args[:1])[0]), lambda v: _bucket_start(v, size))
+    return int_text(start) if name == "bucket" else text(F.concat(start.cast("string"), F.lit(" - "), (start + (size - 1)).cast("string")))
 
 
 @rule("expbucket", low=1, high=1)
@@ -327,16 +340,17 @@ def _expbucket(ctx, _, args):
 def _clamp(ctx, _, args):
     a = args_of(ctx, args[:1])[0]
     v, lo, hi = as_int(a), const_int(args[1]), const_int(args[2])
-    return bound(v, lambda n: F.when(n.isNull(), BAD).when(n < lo, "min").when(n > hi, "max").otherwise(a))
+    return ctx.let(v, lambda n: F.when(n.isNull(), BAD).when(n < lo, "min").when(n > hi, "max").otherwise(a))
 
 
 @rule("!", low=1)
 def _formula(ctx, _, args):
     try:
-        out = compile_formula("".join(const(a) for a in args), lambda n: as_num(ctx.variable(n)))
+        number = lambda n: ctx.once(("number", ctx.scope, n), lambda: as_num(ctx.variable(n)))
+        out = compile_formula("".join(const(a) for a in args), number)
     except FormulaError as e:
         raise TemplateError("formula", str(e)) from None
-    return num_text(out)
+    return num_text(ctx, out)
 
 
 # text --------------------------------------------------------------------------------

@@ -15,7 +15,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .library import BAD, PARSE, args_of, as_int, bound, const, rule
+from .library import BAD, INT, PARSE, args_of, as_int, bound, const, fitting, rule
 from .template import TemplateError
 
 #: Named layouts.
@@ -28,7 +28,7 @@ LAYOUTS = {
 }
 #: Layout pieces, the text each reads, and the Java pattern that writes it (zones are written apart).
 PIECES = {
-    "January": ("month", r"([A-Za-z]+)", "MMMM"), "Jan": ("month", r"([A-Za-z]{3})", "MMM"), "Monday": (None, r"[A-Za-z]+", "EEEE"), "Mon": (None, r"[A-Za-z]{3}", "EEE"),
+    "January": ("month", r"([A-Za-z]{3})[A-Za-z]*", "MMMM"), "Jan": ("month", r"([A-Za-z]{3})", "MMM"), "Monday": (None, r"[A-Za-z]+", "EEEE"), "Mon": (None, r"[A-Za-z]{3}", "EEE"),
     "2006": ("year", r"(\d{4})", "yyyy"), "Z07:00": ("zone", r"(Z|[+-]\d\d:\d\d)", None), "Z0700": ("zone", r"(Z|[+-]\d{4})", None), "-07:00": ("zone", r"([+-]\d\d:\d\d)", None),
     "-0700": ("zone", r"([+-]\d{4})", None), "MST": ("zone", r"([A-Z]{3,5}|[+-]\d\d)", None), "01": ("month", r"(\d\d)", "MM"), "02": ("day", r"(\d\d)", "dd"), "_2": ("day", r" ?(\d{1,2})", "_d"),
     "15": ("hour", r"(\d{1,2})", "HH"), "03": ("hour", r"(\d\d)", "hh"), "04": ("minute", r"(\d\d)", "mm"), "05": ("second", r"(\d\d)", "ss"), "06": ("year", r"(\d\d)", "yy"),
@@ -36,7 +36,6 @@ PIECES = {
     "1": ("month", r"(\d{1,2})", "M"), "2": ("day", r"(\d{1,2})", "d"), "3": ("hour", r"(\d{1,2})", "h"), "4": ("minute", r"(\d{1,2})", "m"), "5": ("second", r"(\d{1,2})", "s"),
 }
 _PIECE = re.compile("|".join(re.escape(p) for p in sorted(PIECES, key=len, reverse=True)))
-FIELDS = ("year", "month", "day", "hour", "minute", "second", "fraction", "half", "zone")
 #: Layouts that detection tries in turn; a trailing zone, a leading weekday and fractions may be added to each.
 DETECT = [
     "_2/Jan/2006:15:04:05", "2006-01-02T15:04:05", "2006-01-02 15:04:05", "2006-01-02 15:04", "2006-01-02T15:04", "2006-01-02", "2006/01/02 15:04:05", "2006/01/02", "2006.01.02",
@@ -48,8 +47,15 @@ DETECT = [
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 
-def reader(layout: str, loose: bool = False) -> tuple[str, str]:
-    """(pattern, replacement) that turns a text of the layout into its FIELDS, divided by bars."""
+def readers(layout: str, loose: bool = False) -> list[tuple[str, str]]:
+    """(pattern, replacement) pairs that turn a text of the layout into `year-month-day hour:minute:second|half|zone`; one for each century."""
+    if (short := re.search(r"(?<!20)06(?!\d)", layout)) and "06" in _PIECE.findall(layout):
+        at = short.start()
+        return [_reader(layout, loose, at, century) for century in (("19", r"(69|[7-9]\d)"), ("20", r"(\d\d)"))]
+    return [_reader(layout, loose)]
+
+
+def _reader(layout: str, loose: bool, short: int = -1, century: tuple[str, str] = ("", "")) -> tuple[str, str]:
     out, at, found, n = "", 0, {}, 0
 
     def literal(s):
@@ -59,23 +65,25 @@ def reader(layout: str, loose: bool = False) -> tuple[str, str]:
         out += literal(layout[at : m.start()])
         at = m.end()
         name, pattern, _ = PIECES[m[0]]
+        if m.start() == short:
+            pattern = century[1]
         if out.endswith(" +") and m[0] == "_2":
             pattern = pattern.removeprefix(" ?")
         out += pattern
         if name:
             n += 1
-            found[name] = n
+            found[name] = f"${n}"
         if name == "second":  # a fraction may follow the seconds
-            out += r"(?:[.,](\d{1,9})\d*)?"
+            out += r"(?:(\.\d{1,6})\d*|,\d+)?"
             n += 1
-            found["fraction"] = n
+            found["second"] += f"${n}"
     out += literal(layout[at:])
     if loose:
         out = r"(?:[A-Za-z]{3,9},? +)?" + out + ("" if "zone" in found else r"(?: *(Z|[+-]\d\d:?\d\d|[A-Z]{3,5}))?(?: \([A-Z]+\))?")
-        if "zone" not in found:
-            found["zone"] = n + 1
-    blank = {"year": "0", "month": "1", "day": "1", "hour": "0", "minute": "0", "second": "0"}
-    return r"^ *" + out + r" *\z", "|".join(f"${found[f]}" if f in found else blank.get(f, "") for f in FIELDS)
+        found.setdefault("zone", f"${n + 1}")
+    get = lambda f, other: found.get(f, other)
+    order = f"{century[0]}{get('year', '1970')}-{get('month', '01')}-{get('day', '01')} {get('hour', '00')}:{get('minute', '00')}:{get('second', '00')}|{get('half', '')}|{get('zone', '')}"
+    return r"^ *" + out + r" *\z", order
 
 
 def _layout(name: str) -> str:
@@ -83,43 +91,45 @@ def _layout(name: str) -> str:
 
 
 def fields(s: Column, layout: str) -> Column:
-    """The FIELDS of s, divided by bars; null where it doesn't fit."""
-    if layout.lower() in ("", "auto", "cache"):
-        out = F.lit(None).cast("string")
-        for one in reversed(DETECT):
-            pattern, order = reader(one, True)
-            out = F.when(s.rlike(pattern), F.regexp_replace(s, pattern, order)).otherwise(out)
-        return out
-    pattern, order = reader(_layout(layout))
-    return F.when(s.rlike(pattern), F.regexp_replace(s, pattern, order))
+    """s as `readers` put it; null where it doesn't fit."""
+    auto = layout.lower() in ("", "auto", "cache")
+    out = F.lit(None).cast("string")
+    for pattern, order in reversed([r for one in (DETECT if auto else [_layout(layout)]) for r in readers(one, auto)]):
+        out = F.when(s.rlike(pattern), F.regexp_replace(s, pattern, order)).otherwise(out)
+    return out
 
 
 def _moment(p: Column) -> Column:
-    """struct(wall, offset) of an array of FIELDS: the text's own clock, and its seconds east of UTC if it names any."""
-    get = lambda i: F.get(p, F.lit(i))
-    year = F.when(F.length(get(0)) == 2, F.concat(F.when(get(0) >= "69", "19").otherwise("20"), get(0))).otherwise(F.lpad(get(0), 4, "0"))
-    place = F.call_function("instr", F.lit(MONTHS), F.lower(F.left(get(1), F.lit(3))))
-    month = F.when(get(1).rlike(r"^\d+\z"), get(1)).when((place % 3) == 1, F.floor((place + 2) / 3).cast("string"))
-    hour = get(3).cast("int")
-    hour = F.when(get(7) == "", hour).when((hour < 1) | (hour > 12), None).otherwise(hour % 12 + F.when(F.upper(get(7)) == "PM", 12).otherwise(0))
-    fraction = F.when(get(6) == "", "").otherwise(F.concat(F.lit("."), F.left(get(6), F.lit(6))))
-    wall = F.concat(F.when(year == "0000", "1970").otherwise(year), F.lit("-"), month, F.lit("-"), get(2), F.lit(" "), hour.cast("string"), F.lit(":"), get(4), F.lit(":"), get(5), fraction).try_cast("timestamp_ntz")
-    digits = F.replace(F.substring(get(8), 2, 5), F.lit(":"), F.lit(""))
-    signed = (F.left(digits, F.lit(2)).try_cast("int") * 3600 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0)) * 60) * F.when(get(8).startswith("-"), -1).otherwise(1)
+    """struct(wall, offset) of the parts of `fields`: the text's own clock, and its seconds east of UTC if it names any."""
+    text, half, zone = (F.get(p, F.lit(i)) for i in range(3))
+    # a month by name has three letters at the sixth place
+    place = F.call_function("instr", F.lit(MONTHS), F.lower(F.substring(text, 6, 3)))
+    month = F.when(place % 3 == 1, F.floor((place + 2) / 3).cast("string"))
+    plain = F.when(F.substring(text, 6, 1) >= "A", F.concat(F.left(text, F.lit(5)), month, F.substring(text, 9, 64))).otherwise(text)
+
+    def twelve(v):
+        hour = F.regexp_extract(v, r" (\d+):", 1).cast("int")
+        moved = hour % 12 + F.when(F.upper(half) == "PM", 12).otherwise(0)
+        return F.when((hour >= 1) & (hour <= 12), F.concat(F.substring_index(v, " ", 1), F.lit(" "), moved.cast("string"), F.lit(":"), F.substring_index(v, ":", -2)))
+
+    wall = F.when(half == "", plain).otherwise(bound(plain, twelve)).try_cast("timestamp_ntz")
+    digits = F.replace(F.substring(zone, 2, 5), F.lit(":"), F.lit(""))
+    signed = (F.left(digits, F.lit(2)).try_cast("int") * 3600 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0)) * 60) * F.when(zone.startswith("-"), -1).otherwise(1)
     # a zone by name has no offset of its own
-    return F.struct(wall.alias("wall"), F.when(get(8) == "", None).when(get(8).rlike(r"^[+-]"), signed).otherwise(0).alias("offset"))
+    return F.struct(wall.alias("wall"), F.when(zone == "", None).when(zone.rlike(r"^[+-]"), signed).otherwise(0).alias("offset"))
 
 
 def parsed(ctx, template, layout: str) -> Column:
     """struct(number, wall, offset) of a template: unix seconds, or a time as written. One parse a row, however often it is asked for."""
     s = args_of(ctx, [template])[0]
-    none = F.lit(None)
+    none, layout = F.lit(None), layout.lower() if layout.lower() in ("", "auto", "cache", "epoch") or layout == "unix" else _layout(layout)
 
     def make():
-        number = lambda v: F.regexp_extract(v, r"^[+-]?\d+\z", 0).try_cast("bigint")
-        if layout.lower() in ("epoch", "unix") and layout != "UNIX":
+        number = lambda v: fitting(v, INT).try_cast("bigint")
+        if layout in ("epoch", "unix"):
             return F.struct(number(s).alias("number"), none.cast("timestamp_ntz").alias("wall"), none.cast("int").alias("offset"))
-        moment = lambda v: bound(F.split(F.when(~v.rlike(r"^[+-]?\d+\z"), fields(v, layout)), "[|]", -1), _moment)
+        # bound within the expression: as columns of one stage they would make a method too large to be compiled
+        moment = lambda v: bound(F.split(F.when(~v.rlike(r"^[+-]?\d+\z"), fields(v, layout)), r"\|", -1), _moment)
         whole = lambda v, m: F.struct(number(v).alias("number"), m["wall"].alias("wall"), m["offset"].cast("int").alias("offset"))
         return bound(s, lambda v: bound(moment(v), lambda m: whole(v, m)))
 

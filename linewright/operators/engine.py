@@ -382,4 +382,4 @@ def _aggregate(kind, x: Column, init: str, order) -> Column:
     value = {"sumi": lambda: F.try_add(start, total), "sumf": lambda: start + F.sum(v), "subi": lambda: F.try_subtract(start, total), "maxi": lambda: F.greatest(start, F.max(v)), "mini": lambda: F.least(start, F.min(v))}[kind]()
     from ..functions.library import num_text
 
-    return F.when(F.bool_or(v.isNull()), BAD).otherwise(num_text(value) if kind == "sumf" else F.coalesce(value.cast("string"), F.lit(BAD)))
+    return F.when(F.bool_or(v.isNull()), BAD).otherwise(num_text(Context(lambda n: F.lit("")), value) if kind == "sumf" else F.coalesce(value.cast("string"), F.lit(BAD)))

@@ -11,7 +11,9 @@ MONTHS = [("january", "jan"), ("february", "feb"), ("march", "mar"), ("april", "
 
 
 def smart(key: Column) -> list[Column]:
-    n = F.regexp_extract(key, r"-?[0-9]+", 0).try_cast("double")
+    from ..functions.library import fitting
+
+    n = fitting(key, r"-?[0-9]+").try_cast("double")
     return [n.isNull(), n, key]
 
 

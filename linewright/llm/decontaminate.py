@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import cut, table
+from ._util import cut, slices, table
 
 _TO = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 MOST = 16 << 20  # bytes of windows in one automaton, of which it takes some 30 times the memory at most
@@ -107,7 +107,7 @@ FOUND = "n_words long, runs array<struct<first:int,end:int>>, items array<string
 
 def _found(held, keep_text: bool = True):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = [[], [], [], []]
             for text in batch["text"].to_pylist():
                 size, hit, items = held.value(text)
@@ -186,7 +186,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, most: int = MOST)
 
     def filtered(held):
         def run(batches):
-            for batch in batches:
+            for batch in slices(batches):
                 keep = [not held.value(t)[1].any() for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 

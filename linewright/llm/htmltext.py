@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._util import table
+from ._util import slices, table
 
 #: HTML elements whose content is no text, that never close, and that stay within a block.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "option", "button"}
@@ -317,7 +317,7 @@ def extract(pages: DataFrame, model: CRF | None = None) -> DataFrame:
     model = model or trained()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(h, model) for h in batch["html"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import table
+from ._util import slices, table
 
 #: Families of languages by ISO code; others form a family of their own.
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "es": "romance", "fr": "romance", "it": "romance", "pt": "romance"}
@@ -105,7 +105,7 @@ def train(docs: DataFrame, learn, per_language: int = 500) -> Model:
     drawn = known.select("lang", "text", h.alias("h")).where(F.pmod("h", F.lit(1 << 30)) < chance * (1 << 30))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [features(t).astype(np.float16).tobytes() for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["lang"], batch["h"], pa.array(rows, pa.binary())], ["lang", "h", "x"])
 
@@ -123,7 +123,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select(*[docs[c] for c in names])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             got = [held.value(t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
@@ -138,7 +138,7 @@ def recognised(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([held.value(t)[0] != "und" for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

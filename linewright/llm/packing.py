@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import partitions, table, tokenizer_path
+from ._util import partitions, slices, table, tokenizer_path
 from ._words import Powers, mix, words_of
 
 DIMS, BITS = 4, 10
@@ -81,7 +81,7 @@ def _sampled(batches):
 def _placed(bounds: np.ndarray):
     def run(batches):
         powers = Powers()
-        for batch in batches:
+        for batch in slices(batches):
             places = curve_keys(powers, batch["text"].to_pylist(), batch["row"].to_numpy())
             part = np.searchsorted(bounds, places, "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array(places), pa.array(part)], ["doc_id", "text", "place", "part"])
@@ -184,7 +184,7 @@ def packer(path: str, length: int, end_id: int):
             rows.clear()
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 ids = (encode(text) if text else b"") + end
                 total = at = len(ids) // 4

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import components, cut, partitions, table
+from ._util import components, cut, partitions, slices, table
 
 DEPTH = 3
 
@@ -53,7 +53,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches):
-    for batch in batches:
+    for batch in slices(batches):
         found = np.array([fingerprint(t) for t in batch["text"].to_pylist()], np.uint64)
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(found.view(np.int64))], ["doc_id", "th", "fp"])
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import partitions, table
+from ._util import partitions, slices, table
 from ._words import Powers, mix, prefix, sliding, window_hashes, words_of
 
 LENGTH, SEED, RUN = 50, 26, 25
@@ -62,7 +62,7 @@ def _marker(doc: int, text_hash: int) -> int:
 
 def _suffixes(batches):
     powers = Powers()
-    for batch in batches:
+    for batch in slices(batches):
         out = [[], [], [], []]
         for doc, th, text in zip(batch["doc_id"].to_pylist(), batch["th"].to_pylist(), batch["text"].to_pylist()):
             h = words_of(text.encode().lower(), powers)[2]
@@ -81,7 +81,7 @@ def _short(word: bytes) -> bytes:
 def _suffix_texts(batches, name):
     """The surviving suffixes with the words of their windows, from the anchor to the right and to the left; `name` holds the text."""
     powers = Powers()
-    for batch in batches:
+    for batch in slices(batches):
         out = [[], [], [], [], [], []]
         for doc, th, text, seeds in zip(batch["_doc"].to_pylist(), batch["_th"].to_pylist(), batch[name].to_pylist(), batch["_seeds"].to_pylist()):
             raw = text.encode().lower()
@@ -197,7 +197,7 @@ def _compared(batches):
 def _windows(batches, name):
     """The windows of anchors whose seed has too many suffixes, under two digests; `name` holds the text."""
     powers = Powers()
-    for batch in batches:
+    for batch in slices(batches):
         out = [[], [], [], [], []]
         for doc, th, text, frequent in zip(batch["_doc"].to_pylist(), batch["_th"].to_pylist(), batch[name].to_pylist(), batch["_frequent"]):
             h = words_of(text.encode().lower(), powers)[2]
@@ -213,7 +213,7 @@ def _windows(batches, name):
 
 
 def _spans(batches):
-    for batch in batches:
+    for batch in slices(batches):
         out = [[], [], [], [], []]
         for doc, th, found in zip(batch["doc_id"].to_pylist(), batch["th"].to_pylist(), batch["found"]):
             at, kept, removable = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in found.values.flatten())
@@ -296,7 +296,7 @@ def remove_repeats(docs: DataFrame, most: int = MOST) -> DataFrame:
     joined = rows.join(spans, (F.col("_doc") == F.col("_d")) & (F.col("_th") == F.col("_h")), "left").select(*plain, "_spans")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             spans, columns = batch.column(len(names)).to_pylist(), list(batch.columns[: len(names)])
             texts = columns[at].to_pylist()
             new = [cut_words(t, [(s["start_word"], s["n_words"]) for s in x]) if x and t else t for t, x in zip(texts, spans)]

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import table
+from ._util import slices, table
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 BATCH = 128  # queries whose frequent terms are summed at once
@@ -83,7 +83,7 @@ class Index:
         for (*_, y), t in zip(rows, terms):
             (pos if y else neg)[t] += weigh[y]
         size = sum(weigh[y] for *_, y in rows)
-        self.rare = float(np.log(1 + size))  # weight of a term that no example has
+        self.unseen = float(np.log(1 + size))  # weight of a term that no example has
         # how much likelier the term is in toxic examples, one of each kind taken from or added to the counts
         toxic = sum(y for *_, y in rows)
         lift = np.maximum(0, pos / weigh[1] - 1) / max(1, toxic) * max(1, len(rows) - toxic) / (neg / weigh[0] + 1)
@@ -122,7 +122,7 @@ class Index:
         """Ids of the words that some example has and their weights, normalised over all words, known or not."""
         ids = np.fromiter(map(self.id.get, found, [-1] * len(found)), np.int64, len(found))
         weights, known = damped(np.fromiter(found.values(), float, len(found))), ids >= 0
-        weights *= np.where(known, self.idf[ids], self.rare) if len(self.idf) else 1.0
+        weights *= np.where(known, self.idf[ids], self.unseen) if len(self.idf) else 1.0
         return ids[known], weights[known] / (np.linalg.norm(weights) or 1)
 
     def share(self, near: np.ndarray, at: np.ndarray) -> float:
@@ -192,7 +192,7 @@ def held_out():
 
 
 def _bags(batches):
-    for batch in batches:
+    for batch in slices(batches):
         bags = [vocabulary(t) for t in batch["_t"].to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch["_d"], batch["_y"], pa.array([" ".join(b) for b in bags], pa.string()), pa.array([np.fromiter(b.values(), np.int32, len(b)).tobytes() for b in bags], pa.binary())],
@@ -218,7 +218,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             got = held.value.scores(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 

@@ -359,7 +359,7 @@ def test_toxicity_compares_every_text_over_all_terms(spark):
         bags = [(i, toxicity.vocabulary(t), y) for i, t, y in rows]
         index = toxicity.Index(bags, block=4)
         assert len(index.ids) == sum(bool(b) for _, b, _ in bags)  # also those without a term of the label
-        weigh = lambda b: {t: (1 + np.log(n)) * (index.idf[index.id[t]] if t in index.id else index.rare) for t, n in b.items()}
+        weigh = lambda b: {t: (1 + np.log(n)) * (index.idf[index.id[t]] if t in index.id else index.unseen) for t, n in b.items()}
         full = {i: weigh(b) for i, b, _ in bags}
         found = index.nearest([index.vector(toxicity.vocabulary(t)) for t in texts])
         for text, (near, at), (score, evidence) in zip(texts, found, index.scores(texts)):

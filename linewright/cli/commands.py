@@ -8,6 +8,7 @@ from __future__ import annotations
 import shutil
 import sys
 import time
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -216,20 +217,26 @@ class Session:
             source.write_csv(header, rows, self.opts["csv"], self.out)
 
 
+def _wait(query) -> int:
+    """Until the query ends or is interrupted; an interrupt may end the JVM as well."""
+    try:
+        while not query.awaitTermination(1):
+            pass
+    except KeyboardInterrupt:
+        return INTERRUPTED
+    finally:
+        with suppress(Exception):
+            query.stop()
+    return 0
+
+
 def _aggregate(s: Session, lines: Lines, names: list[str], counted, draw) -> int:
     """Runs an aggregate to its end, or again and again while following; draws it with its summary."""
     template = s.opts["extract"]
     if s.following():
         from ..streaming import tail
 
-        query = tail.live(counted(lines), lambda df: s.say(draw(df, "")[0]))
-        try:
-            query.awaitTermination()
-        except KeyboardInterrupt:
-            return INTERRUPTED
-        finally:
-            query.stop()
-        return 0
+        return _wait(tail.live(counted(lines), lambda df: s.say(draw(df, None)[0])))
     watched, counts = lines.watched()
     df = counted(watched).persist()
     df.count()
@@ -432,9 +439,8 @@ def reduce(s: Session, o: Parsed) -> int:
 def filter_(s: Session, o: Parsed, paths: list[str] | None = None) -> int:
     lines = s.lines(o.rest if paths is None else paths, number=o["line"])
     own = "extract" in o.given
-    watched, counts = lines.watched()
     keep = (*[c for c in ("src", "line") if c in lines.df.columns], "value", "_m")
-    rows = watched.filter(o["extract"], keep, o["num"] or None)
+    rows = lines.filter(o["extract"], keep, o["num"] or None)
     plain = F.col("key") if own else F.when(F.is_valid_utf8("value"), F.col("value")).otherwise("Binary Match") if o["text"] else F.col("value")
     shown = rows.select(*[c for c in keep[:-2]], plain.alias("text"), *(["_m"] if s.color and not own else []))
 
@@ -449,14 +455,12 @@ def filter_(s: Session, o: Parsed, paths: list[str] | None = None) -> int:
 
     n = 0
     if s.following():
-        query = shown.writeStream.foreachBatch(lambda df, _: [write(r) for r in df.collect()]).trigger(processingTime="250 milliseconds").start()
-        try:
-            query.awaitTermination()
-        except KeyboardInterrupt:
-            return INTERRUPTED
-        finally:
-            query.stop()
-        return 0
+        def batch(df, _):
+            for r in df.toLocalIterator():
+                write(r)
+            s.out.flush()
+
+        return _wait(shown.writeStream.foreachBatch(batch).trigger(processingTime="250 milliseconds").start())
     for r in shown.toLocalIterator():
         write(r)
         n += 1

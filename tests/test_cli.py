@@ -2,6 +2,8 @@
 
 import gzip
 import io
+import threading
+import time
 
 import pytest
 
@@ -125,6 +127,30 @@ def test_expression_and_usage(run, files):
     assert run("--noformat", "analyze", "-", stdin="12345\n")[1].splitlines()[1] == "Mean:     12345.0000"
 
 
+def follow(spark, files, args, name, wanted):
+    """What a following command has printed when all that is wanted is there."""
+    out, code = io.StringIO(), []
+    (files / name).write_text("a 1\nb 2\na 3\nb")
+    thread = threading.Thread(target=lambda: code.append(main([*args, str(files / name)], spark, out, io.StringIO(), io.StringIO())))
+    thread.start()
+    for seen, more in wanted:
+        end = time.time() + 60
+        while seen not in out.getvalue() and time.time() < end:
+            time.sleep(0.2)
+        assert seen in out.getvalue()
+        with (files / name).open("a") as f:
+            f.write(more)
+    for q in spark.streams.active:
+        q.stop()
+    thread.join(60)
+    return code[0]
+
+
+def test_follow(spark, files):
+    assert follow(spark, files, ["histo", "-f", "-m", r"(\w) (\d)", "-e", "{1}"], "f1.txt", [("a           2         \nb           1 ", " 5\nb 6\n"), ("b           3         \na           2 ", "")]) == 0
+    assert follow(spark, files, ["filter", "-f", "-m", r"b (\d)", "-e", "<{1}>"], "f2.txt", [("<2>\n", " 5\nb 6\n"), ("<5>\n<6>\n", "")]) == 0
+
+
 def test_sorts_by_default(run):
     text = "b 10\nb 10\na 2\nc 33\n"
     assert [x.split()[0] for x in run("histo", "-m", r"(\w)", "-e", "{1}", "-", stdin=text)[1].splitlines()[:3]] == ["b", "c", "a"]

@@ -303,8 +303,8 @@ def fold(rows: DataFrame, columns, group, order, functions, load: bool = True) -
     return named(lists.withColumn("_s", F.aggregate("_l", start, step)).select(*by, *[F.col(f"_s.{at[n]}").alias(at[n]) for n in names]))
 
 
-def sort_groups(found: DataFrame, groups: list[str], columns: dict[str, str], template: str = "", reverse: bool = False, functions=None) -> DataFrame:
-    """Groups of a fold in order of a template, or of their key, by the contextual order; ties by the key.
+def group_keys(found: DataFrame, groups: list[str], columns: dict[str, str], template: str = "", functions=None) -> DataFrame:
+    """Groups of a fold with what they are sorted by, `_sort`: a template, or their key `_key`.
 
     In the template {.} is the key, {0} the first group, and a name the column that `columns` gives for it.
     """
@@ -318,7 +318,12 @@ def sort_groups(found: DataFrame, groups: list[str], columns: dict[str, str], te
         return F.coalesce(F.col(columns[name]), F.lit("")) if name in columns else F.lit("")
 
     by = lower_template(parse(template), Context(variable, functions)) if template else key
-    keyed = found.withColumns({"_sort": by, "_key": key})
+    return found.withColumns({"_sort": by, "_key": key})
+
+
+def sort_groups(found: DataFrame, groups: list[str], columns: dict[str, str], template: str = "", reverse: bool = False, functions=None) -> DataFrame:
+    """Groups of a fold in the contextual order of `group_keys`; ties by the key."""
+    keyed = group_keys(found, groups, columns, template, functions)
     return keyed.orderBy(*sort_columns(keyed, "contextual" + (":desc" if reverse else ""), key="_sort"), "_key").drop("_sort", "_key")
 
 

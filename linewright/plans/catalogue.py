@@ -5,13 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import scale
-from ..operators.engine import Lines, format_columns, last_columns, lookup_join, minmax, sort_groups, totals
+from ..operators.engine import Lines, format_columns, group_keys, last_columns, lookup_join, minmax, totals
 from ..operators.fuzzy import fuzzy_keys
-from ..operators.sorting import sort_columns
+from ..operators.sorting import ranked
 from ..sources.text import events_lines, read
 
 QUERIES: dict = {}
@@ -170,7 +170,7 @@ query("analyze_reverse", "with x as (select list_reverse_sort(list(value)) s, co
 query("reduce", "select event_type as kind, sum(user_id)::bigint::varchar as total, count(*)::varchar as n, (sum(user_id)//count(*))::bigint::varchar as mean, max(user_id)::varchar as top from events group by 1")(
     lambda s, d: _lines(s, d).match(r"user=(\d+) (\w+)").reduce([("total", "0", "{sumi {.} {1}}"), ("n", "0", "{sumi {.} 1}"), ("mean", "0", "{divi {total} {n}}"), ("top", "0", "{maxi {.} {1}}")], [("kind", "{2}")]))
 query("reduce_sort", "select kind, total, row_number() over (order by total::bigint desc, kind)::int as rank from (select event_type as kind, sum(user_id)::bigint::varchar as total from events group by 1)")(
-    lambda s, d: (lambda f: sort_groups(f, ["kind"], {"total": "total"}, "{subi 0 {total}}").select("kind", "total", F.row_number().over(Window.orderBy(F.col("total").cast("bigint").desc(), "kind")).alias("rank")))(_lines(s, d).match(r"user=(\d+) (\w+)").reduce([("total", "0", "{sumi {.} {1}}")], [("kind", "{2}")])))
+    lambda s, d: ranked(group_keys(_lines(s, d).match(r"user=(\d+) (\w+)").reduce([("total", "0", "{sumi {.} {1}}")], [("kind", "{2}")]), ["kind"], {"total": "total"}, "{subi 0 {total}}"), "contextual", "_sort").select("kind", "total", "rank"))
 query("reduce_format", "select event_type as kind, format('{:,}', sum(user_id)::bigint) as total, 'n=' || count(*) as n from events group by 1")(
     lambda s, d: format_columns(_lines(s, d).match(r"user=(\d+) (\w+)").reduce([("total", "0", "{sumi {.} {1}}"), ("n", "0", "{sumi {.} 1}")], [("kind", "{2}")]), {"total": "hi", "n": "n={0}"}))
 query("bargraph_stacked", "select event_type as key, count(*)::bigint as total, count(distinct user_id % 3)::bigint as parts from events group by 1")(
@@ -183,7 +183,7 @@ query("reduce_fold", "select conv_id::varchar as conv, string_agg(role[1], '' or
 def _ranked(name, kind, table, column, sql):
     def run(spark, sf):
         df = spark.read.parquet(f"{sf}/{table}.parquet").groupBy(F.expr(column).alias("key")).agg(F.count("*").alias("count"))
-        return df.select("key", F.row_number().over(Window.orderBy(*sort_columns(df, kind))).alias("rank"))  # distinct keys of a small table
+        return ranked(df, kind).select("key", "rank")
 
     query(name, sql)(run)
 

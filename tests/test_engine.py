@@ -9,7 +9,7 @@ from linewright.functions.library import compile_template
 from linewright.functions.template import TemplateError, load_functions, parse
 from linewright.operators import matcher
 from linewright.operators.engine import Lines, minmax, wide
-from linewright.operators.sorting import sort_columns
+from linewright.operators.sorting import ranked, sort_columns
 from linewright.plans import catalogue
 from linewright.sources import text as source
 from linewright.streaming import tail
@@ -161,6 +161,14 @@ def test_analyze_and_order(spark):
     assert [x.key for x in keys.orderBy(*sort_columns(keys, "contextual")).collect()] == ["sun", "mon", "Tuesday"]
 
 
+def test_ranks_by_ranges(spark):
+    df = spark.range(500).select((F.col("id") * 37 % 500).alias("n")).select(F.when(F.col("n") % 5 == 0, F.concat(F.lit("x"), F.col("n").cast("string"))).otherwise(F.col("n").cast("string")).alias("key"), F.lit(1).alias("count"))
+    for kind in ("text", "text:desc", "numeric", "smart", "smart:desc", "value"):
+        want = [r.key for r in df.orderBy(*sort_columns(df, kind)).collect()]
+        got = ranked(df, kind, ranges=8, few=10)
+        assert [r.key for r in got.orderBy("rank").collect()] == want and got.agg(F.max("rank")).first()[0] == 500, kind
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "a.log").write_bytes(b"one\r\ntwo\rx\n")

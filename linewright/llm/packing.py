@@ -89,21 +89,23 @@ def _placed(bounds: np.ndarray):
     return run
 
 
-def boundaries(rows: DataFrame, n: int, per_range: int = 100) -> np.ndarray:
-    """n - 1 places that cut the curve into ranges of about equal text, from a sample of some `per_range` rows a range.
+def boundaries(rows: DataFrame, n: int, per_range: int = 100, most: int = 1_000_000) -> np.ndarray:
+    """n - 1 places that cut the curve into ranges of about equal text, from a sample of some `per_range` rows a range, `most` in all.
 
     The sample only places the cuts; every row is packed. Its keys alone are computed twice.
     """
     total = rows.count()
     if n < 2 or not total:
         return np.zeros(0, np.int64)
-    sample = rows if total <= per_range * n else rows.where(F.rand(11) < per_range * n / total)
-    found = sorted((r.place, r.size) for r in sample.mapInArrow(_sampled, "place long, size long").collect())
-    if not found:
+    wanted = min(per_range * n, most)
+    sample = rows if total <= wanted else rows.where(F.rand(11) < wanted / total)
+    found = sample.mapInArrow(_sampled, "place long, size long").toArrow()
+    if not len(found):
         return np.zeros(0, np.int64)
-    ends = np.cumsum([s for _, s in found])
-    cuts = np.searchsorted(ends, ends[-1] * np.arange(1, n) / n)
-    return np.array([found[i][0] for i in cuts], np.int64)
+    place, size = (found[c].to_numpy() for c in ("place", "size"))
+    order = np.argsort(place, kind="stable")
+    ends = np.cumsum(size[order])
+    return place[order][np.searchsorted(ends, ends[-1] * np.arange(1, n) / n)]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -215,10 +217,10 @@ def packer(path: str, length: int, end_id: int):
 
 
 def ranges(docs: DataFrame, most_bytes: int) -> int:
-    """Number of ranges: the session's, or as many as keep a range within `most_bytes` of input."""
+    """Number of ranges: the session's, or as many as keep a range within `most_bytes` of input, 100,000 at most (a range of any size sorts on disk)."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     known = size < 1 << 60  # Spark's guess where it knows no size
-    return max(partitions(docs.sparkSession), -(-size // most_bytes) if known else 1)
+    return max(partitions(docs.sparkSession), min(100_000, -(-size // most_bytes)) if known else 1)
 
 
 def pack(docs: DataFrame, length: int = 2048, end_id: int = 1, vocabulary: str | None = None, most_bytes: int = 64 << 20) -> DataFrame:
